@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trellisq.llm.bpe import encode
 from trellisq.llm.splitting import split
+from trellisq.llm.tiling import leaks
 from trellisq.sources.tables import table
 
 
@@ -13,9 +14,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("stretch").select("item_id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_report, p8_pieces)}
 ORACLE: dict[str, str] = {}
