@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trellisq.llm.bpe import encode
+from trellisq.llm.mojibake import garbled_names
 from trellisq.llm.splitting import split
 from trellisq.llm.tiling import leaks
 from trellisq.sources.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_names(spark, d).select("table_name", "row_no")
+
+
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_names({t: table(spark, d, t) for t in ("stops", "pathways")})
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
@@ -26,5 +35,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_names, p6_ids, p7_found, p7_report, p8_pieces)}
 ORACLE: dict[str, str] = {}
