@@ -44,7 +44,7 @@ TIMETABLE = (
 
 def bare(c: str | Column) -> Column:
     """An id without outer blanks (spaces, tabs, line breaks); null when nothing is left."""
-    return F.nullif(F.btrim(c, F.lit(" \t\r\n ")), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(" \t\r\n\u00a0")), F.lit(""))
 
 
 def children(tables: dict[str, DataFrame], refs: Sequence[Reference]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,21 @@ def local_session(cores: int = 8, app: str = "trellisq") -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = tempfile.mkdtemp(prefix="trellisq-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary folder is taken.
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing the rows as a table in the shared folder and reading it again.
+
+    The table outlives lost executors; like checkpoint files it stays until the folder is
+    cleaned.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trellisq-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/trellisq-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
