@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trellisq.llm.bpe import encode
+from trellisq.llm.digest import stop_percentiles
 from trellisq.llm.mojibake import garbled_names
 from trellisq.llm.splitting import split
 from trellisq.llm.tiling import leaks
 from trellisq.sources.tables import table
 
 
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return stop_percentiles(table(spark, d, "stop_times"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_names(spark, d).select("table_name", "row_no")
 
@@ -35,5 +40,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_names, p6_ids, p7_found, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p4_found, p4_names, p6_ids, p7_found, p7_report, p8_pieces)}
 ORACLE: dict[str, str] = {}
