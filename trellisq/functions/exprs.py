@@ -17,11 +17,10 @@ def int_div(a: Column, b: Column | int) -> Column:
 def parse_time(c: str | Column) -> Column:
     """``[-]H+:MM:SS`` to INT seconds; null for anything else (hours may exceed 23)."""
     t = F.trim(c)
-    neg = t.startswith("-")
-    parts = F.split(F.when(neg, F.substring(t, 2, 100)).otherwise(t), ":")
-    ok = t.rlike(r"^-?[0-9]{1,6}:[0-9]{2}:[0-9]{2}$")
-    sec = parts[0].try_cast("int") * 3600 + parts[1].try_cast("int") * 60 + parts[2].try_cast("int")
-    return F.when(ok, F.when(neg, -sec).otherwise(sec))
+    part = lambda start: F.substring(t, start, 2).try_cast("int")
+    hours = F.abs(F.substring_index(t, ":", 1).try_cast("int"))
+    sec = hours * 3600 + part(-5) * 60 + part(-2)
+    return F.when(t.rlike("^-?[0-9]{1,5}:[0-9]{2}:[0-9]{2}$"), F.when(t.startswith("-"), -sec).otherwise(sec))
 
 
 def format_time(c: str | Column) -> Column:

@@ -75,7 +75,7 @@ def _loaded(feed: str) -> str:
     return f"WITH {_VALID} SELECT line_id, feed_date, " + ", ".join(f"CAST({_num(i)} AS INTEGER) AS {c}" if c == number else f"{_get(i)} AS {c}" for i, c in enumerate(cols)) + f" FROM valid WHERE coalesce(ok, false) AND feed_name = '{feed}'"
 
 
-_SECONDS = lambda c: f"""(CASE WHEN regexp_full_match(trim({c}), '-?[0-9]{{1,6}}:[0-9]{{2}}:[0-9]{{2}}') THEN
+_SECONDS = lambda c: f"""(CASE WHEN regexp_full_match(trim({c}), '-?[0-9]{{1,5}}:[0-9]{{2}}:[0-9]{{2}}') THEN
   (CASE WHEN trim({c}) LIKE '-%' THEN -1 ELSE 1 END) * (CAST(split_part(ltrim(trim({c}), '-'), ':', 1) AS INT) * 3600
    + CAST(split_part(trim({c}), ':', 2) AS INT) * 60 + CAST(split_part(trim({c}), ':', 3) AS INT)) END)"""
 _NEAR = lambda a, b: f"((({b}) - ({a}) + 43200) % 86400 + 86400) % 86400 - 43200"
