@@ -51,12 +51,14 @@ def trip_groups(trips: DataFrame, routes: DataFrame) -> DataFrame:
 def route_stops(events: DataFrame, groups: DataFrame) -> DataFrame:
     """Line, pos, stop_id: the stop order of each line, from its trips in direction 0.
 
-    A stop stands where it stands most often (ties: the smaller number); stops that share
-    a place follow each other by id.
+    At each sequence number stands the line's most frequent stop (ties: the smaller id); a
+    stop that leads at several numbers stays where it is most frequent (ties: the smaller
+    number).  Stops of rarer trip patterns are on no place.
     """
     at = events.join(groups.where("direction = 0"), "trip_id").groupBy("line", "stop_id", "seq").agg(F.count(F.lit(1)).alias("n"))
-    usual = at.groupBy("line", "stop_id").agg(F.max(F.struct("n", (-F.col("seq")).alias("s")))["s"].alias("s"))
-    w = Window.partitionBy("line").orderBy(-F.col("s"), "stop_id")
+    leading = at.groupBy("line", "seq").agg(F.min(F.struct((-F.col("n")).alias("m"), "stop_id")).alias("x"))
+    usual = leading.groupBy("line", F.col("x.stop_id").alias("stop_id")).agg(F.min(F.struct("x.m", "seq"))["seq"].alias("seq"))
+    w = Window.partitionBy("line").orderBy("seq")
     return usual.select("line", F.row_number().over(w).alias("pos"), "stop_id")
 
 

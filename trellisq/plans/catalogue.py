@@ -127,8 +127,9 @@ _PARTS = {
       FROM trips WHERE {_T('trip_id')} <> '' QUALIFY row_number() OVER (PARTITION BY {_T('trip_id')} ORDER BY row_no DESC) = 1""",
     "gr": f"SELECT trip_id, line, direction FROM tr WHERE direction IN (0, 1) AND line IN (SELECT {_T('route_id')} FROM routes WHERE route_id IS NOT NULL)",
     "places": "SELECT line, stop_id, seq, count(*) AS n FROM ev JOIN gr USING (trip_id) WHERE direction = 0 GROUP BY ALL",
-    "usual": "SELECT line, stop_id, seq FROM places QUALIFY row_number() OVER (PARTITION BY line, stop_id ORDER BY n DESC, seq) = 1",
-    "rs": "SELECT line, stop_id, row_number() OVER (PARTITION BY line ORDER BY seq, stop_id) AS pos FROM usual",
+    "lead_stops": "SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY line, seq ORDER BY n DESC, stop_id) = 1",
+    "usual": "SELECT line, stop_id, seq FROM lead_stops QUALIFY row_number() OVER (PARTITION BY line, stop_id ORDER BY n DESC, seq) = 1",
+    "rs": "SELECT line, stop_id, row_number() OVER (PARTITION BY line ORDER BY seq) AS pos FROM usual",
     "lo": f"SELECT line, row_number() OVER (ORDER BY {_dotted('line')}, line) - 1 AS line_ord FROM (SELECT DISTINCT line FROM rs)",
     "fp": "SELECT line, stop_id AS a, lead(stop_id) OVER (PARTITION BY line ORDER BY pos) AS b FROM rs QUALIFY b IS NOT NULL",
     "ep": "SELECT line, 0 AS direction, a, b FROM fp UNION ALL SELECT line, 1, b, a FROM fp",
@@ -422,8 +423,8 @@ def sequence_gaps(t: Tables) -> DataFrame:
 @query(
     cte("tr")
     + """, h AS (SELECT DISTINCT line, coalesce(headsign, '') AS headsign, CAST(direction AS VARCHAR) AS d FROM tr WHERE line IS NOT NULL),
-p AS (SELECT line, headsign, count(DISTINCT d) AS n, min(d) AS only FROM h GROUP BY ALL),
-l AS (SELECT line, count(*) AS headsigns, count(*) FILTER (n = 1) AS mapped, count(*) FILTER (n <> 1) AS ambiguous, count(DISTINCT only) FILTER (n = 1) AS targets FROM p GROUP BY line),
+p AS (SELECT line, headsign, count(DISTINCT d) AS n, min(d) AS one FROM h GROUP BY ALL),
+l AS (SELECT line, count(*) AS headsigns, count(*) FILTER (n = 1) AS mapped, count(*) FILTER (n <> 1) AS ambiguous, count(DISTINCT one) FILTER (n = 1) AS targets FROM p GROUP BY line),
 x AS (SELECT line, count(DISTINCT coalesce(d, '')) AS directions FROM h GROUP BY line)
 SELECT line, headsigns, directions, issues FROM (SELECT *, concat_ws(',', CASE WHEN headsigns <> 2 THEN 'headsigns' END, CASE WHEN directions <> 2 THEN 'directions' END, CASE WHEN ambiguous > 0 THEN 'ambiguous' END, CASE WHEN mapped = 2 AND targets <> 2 THEN 'same_direction' END) AS issues FROM l JOIN x USING (line)) WHERE issues <> ''"""
 )
@@ -582,7 +583,7 @@ def a_star_weights(t: Tables) -> DataFrame:
     return search.a_star_pairs(e, pairs, h).where("optimum_weight is not null").select("source", "target", "optimum_weight")
 
 
-@query("SELECT NULL AS source, NULL AS target, NULL AS mismatch, NULL AS w_dijkstra, NULL AS w_relax WHERE false")
+@query("SELECT CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS mismatch, CAST(NULL AS BIGINT) AS w_dijkstra, CAST(NULL AS BIGINT) AS w_relax WHERE false")
 def search_mismatches(t: Tables) -> DataFrame:
     e = _nations(t)
     v = model.vertices(e)
