@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,109 +138,125 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, size: int = BATC
         yield t, numbered(t)
 
 
-_DIGEST = "n long, estimates array<double>, error double, mean array<double>, weight array<double>, low array<double>, high array<double>"
 _FIELDS = [("n", pa.int64()), ("estimates", pa.list_(pa.float64())), ("error", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("mean", "weight", "low", "high"))]
+_SQL = {"n": "long", "error": "double"}
 
 
-def _columns(keys: list[pa.Array], metric: str, d: Digests, groups: int, error: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> tuple[list[pa.Array], np.ndarray]:
+def _columns(d: Digests, groups: int, error: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> list[pa.Array]:
+    """n, estimates, error, mean, weight, low, high of one metric; null lists for groups without values."""
     est, n = quantiles(d, groups)
-    err = error(est, n) if error else np.full(groups, np.nan)
+    none = pa.array(n == 0)
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d.group, minlength=groups))]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float64))) for x in (d.mean, d.weight, d.low, d.high)]
-    some = np.flatnonzero(n > 0)
     estimates = pa.ListArray.from_arrays(pa.array(np.arange(0, est.size + 1, est.shape[1], dtype=np.int32)), pa.array(est.ravel()))
-    columns = [*keys, pa.array([metric] * groups), pa.array(n.astype(np.int64)), estimates, pa.array(err), *lists]
-    return [c.take(pa.array(some)) for c in columns], some
+    err = pa.array(error(est, n)) if error else pa.nulls(groups, pa.float64())
+    return [pa.array(n.astype(np.int64)), estimates, err, pa.ListArray.from_arrays(offsets, pa.array(d.mean), mask=none), *_spare(d, groups)]
 
 
-def _schema(df: DataFrame, keys: list[str]) -> tuple[str, pa.Schema]:
+def _spare(d: Digests, groups: int) -> list[pa.Array]:
+    """weight, low and high as lists, null for the groups whose clusters hold one value each."""
+    plain = np.ones(groups, bool)
+    plain[d.group[d.weight > 1]] = False
+    sizes = np.bincount(d.group, minlength=groups)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(plain, 0, sizes))]).astype(np.int32))
+    kept = ~plain[d.group]
+    return [pa.ListArray.from_arrays(offsets, pa.array(x[kept].astype(np.float64)), mask=pa.array(plain)) for x in (d.weight, d.low, d.high)]
+
+
+def _filled(c: pa.ListArray, sizes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The values of the lists one after the other, those of ``rest`` where a list is null."""
+    own = np.repeat(c.is_valid().to_numpy(zero_copy_only=False), sizes)
+    out = rest.astype(np.float64)
+    out[own] = c.flatten().to_numpy()
+    return out
+
+
+def _schema(df: DataFrame, keys: list[str], metrics: list[str]) -> tuple[str, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [(k, df.schema[k].dataType) for k in keys]
-    ddl = ", ".join(f"`{k}` {t.simpleString()}" for k, t in types)
-    return f"{ddl}, metric string, {_DIGEST}", pa.schema([*((k, to_arrow_type(t)) for k, t in types), ("metric", pa.string()), *_FIELDS])
+    ddl = [f"`{k}` {t.simpleString()}" for k, t in types] + [f"{m}_{f} {_SQL.get(f, 'array<double>')}" for m in metrics for f, _ in _FIELDS]
+    return ", ".join(ddl), pa.schema([*((k, to_arrow_type(t)) for k, t in types), *((f"{m}_{f}", t) for m in metrics for f, t in _FIELDS)])
 
 
 def build(df: DataFrame, keys: list[str], metrics: list[str], delta: float = DELTA) -> DataFrame:
-    """<keys>, metric, n, estimates, error, mean, weight, low, high: one row per group and metric with values.
+    """<keys> and, per metric, n, estimates, error, mean, weight, low, high (prefixed by its name): one row per group.
 
-    Rows are hash-partitioned by the keys and met in their order; nulls are no values;
-    the error is counted on the group's own values.
+    Rows are hash-partitioned by the keys and met in their order; nulls are no values
+    (n = 0 without any); the error is counted on the group's own values.  weight, low and
+    high are null where every cluster holds one value.
     """
-    ddl, schema = _schema(df, keys)
+    ddl, schema = _schema(df, keys, metrics)
+
+    def digest(c: pa.Array, g: np.ndarray, groups: int) -> list[pa.Array]:
+        ok = c.is_valid().to_numpy(zero_copy_only=False)
+        value, group = c.drop_null().to_numpy().astype(np.float64), g[ok]
+        order = np.lexsort((value, group))
+        value, group = value[order], group[order]
+
+        def error(est: np.ndarray, n: np.ndarray) -> np.ndarray:
+            each = [rank_error(q, count_below(group, value, groups, est[:, j], "left"), count_below(group, value, groups, est[:, j], "right"), n) for j, q in enumerate(QUANTILES)]
+            return np.max(each, axis=0)
+
+        # equal values go in as one
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])) if len(value) else np.empty(0, np.int64)
+        weight = np.diff(np.append(new, len(value))).astype(np.float64)
+        return _columns(cluster(group[new], value[new], weight, value[new], value[new], delta), groups, error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in _whole_groups(batches, len(keys)):
             groups = int(g[-1]) + 1
             firsts = pa.array(np.searchsorted(g, np.arange(groups)))
-            own = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys)]]
-            for k, m in enumerate(metrics):
-                c = t.column(len(keys) + k).combine_chunks()
-                ok = c.is_valid().to_numpy(zero_copy_only=False)
-                value, group = c.drop_null().to_numpy().astype(np.float64), g[ok]
-                order = np.lexsort((value, group))
-                value, group = value[order], group[order]
-
-                def error(est: np.ndarray, n: np.ndarray, value=value, group=group, groups=groups) -> np.ndarray:
-                    each = [rank_error(q, count_below(group, value, groups, est[:, j], "left"), count_below(group, value, groups, est[:, j], "right"), n) for j, q in enumerate(QUANTILES)]
-                    return np.max(each, axis=0)
-
-                d = cluster(group, value, np.ones(len(value)), value, value, delta)
-                columns, some = _columns(own, m, d, groups, error)
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
+            columns = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys)]]
+            for k in range(len(metrics)):
+                columns += digest(t.column(len(keys) + k).combine_chunks(), g, groups)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
     return df.select(*keys, *metrics).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
-def merge(digests: DataFrame, keys: list[str], delta: float = DELTA) -> DataFrame:
-    """Digests of the same shape per <keys>, metric, merged by clustering the centroids again; error is null.
+def merge(digests: DataFrame, keys: list[str], metrics: list[str], delta: float = DELTA) -> DataFrame:
+    """Digests of the same shape per <keys>, merged by clustering the centroids again; the errors are null.
 
     What meets in one task is a group's digests, at most delta/2 + 1 centroids each.
     """
-    ddl, schema = _schema(digests, keys)
+    ddl, schema = _schema(digests, keys, metrics)
+    lists = ("mean", "weight", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in _whole_groups(batches, len(keys) + 1):
+        for t, g in _whole_groups(batches, len(keys)):
             groups = int(g[-1]) + 1
             firsts = pa.array(np.searchsorted(g, np.arange(groups)))
-            own = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys) + 1]]
-            lists = [c.combine_chunks() for c in t.columns[len(keys) + 1 :]]
-            sizes = np.diff(lists[0].offsets.to_numpy())
-            mean, weight, low, high = (x.flatten().to_numpy() for x in lists)
-            d = cluster(np.repeat(g, sizes), mean, weight, low, high, delta)
-            columns, _ = _columns(own[:-1], "", d, groups, None)
-            columns[len(keys)] = own[-1]
+            columns = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys)]]
+            for k in range(len(metrics)):
+                first = len(keys) + k * len(lists)
+                means, *rest = (c.combine_chunks() for c in t.columns[first : first + len(lists)])
+                sizes = pc.fill_null(pc.list_value_length(means), 0).to_numpy()
+                mean = means.flatten().to_numpy().astype(np.float64)
+                weight, low, high = (_filled(c, sizes, x) for c, x in zip(rest, (np.ones(len(mean)), mean, mean)))
+                columns += _columns(cluster(np.repeat(g, sizes), mean, weight, low, high, delta), groups, None)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    return (
-        digests.select(*keys, "metric", "mean", "weight", "low", "high")
-        .repartition(*keys, "metric")
-        .sortWithinPartitions(*keys, "metric")
-        .mapInArrow(run, ddl)
-    )
-
+    return digests.select(*keys, *(f"{m}_{c}" for m in metrics for c in lists)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 def certify(values: DataFrame, digests: DataFrame, keys: list[str], metrics: list[str], salts: int = 8) -> DataFrame:
-    """The digests with their rank error, counted in a second pass over the values (salted by row_no)."""
-    digests = digests.drop("error")
+    """The digests with their rank errors, counted in a second pass over the values (salted by row_no)."""
     qs = range(len(QUANTILES))
-    wide = digests.groupBy(*keys).agg(*(F.first(F.when(F.col("metric") == m, F.col("estimates")), ignorenulls=True).alias(f"x_{m}") for m in metrics))
-    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    wide = digests.select(*keys, *(f"{m}_estimates" for m in metrics), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     held = values.select(*keys, *metrics, F.pmod("row_no", F.lit(salts)).cast("int").alias("salt")).join(wide, [*keys, "salt"])
     sums = held.groupBy(*keys, "salt").agg(
-        *(F.count_if(F.col(m) < F.col(f"x_{m}")[j]).alias(f"below_{m}_{j}") for m in metrics for j in qs),
-        *(F.count_if(F.col(m) <= F.col(f"x_{m}")[j]).alias(f"upto_{m}_{j}") for m in metrics for j in qs),
+        *(F.count_if(F.col(m) < F.col(f"{m}_estimates")[j]).alias(f"below_{m}_{j}") for m in metrics for j in qs),
+        *(F.count_if(F.col(m) <= F.col(f"{m}_estimates")[j]).alias(f"upto_{m}_{j}") for m in metrics for j in qs),
     )
     counts = sums.groupBy(*keys).agg(*(F.sum(f"{s}_{m}_{j}").alias(f"{s}_{m}_{j}") for s in ("below", "upto") for m in metrics for j in qs))
-    pick = lambda s, j: F.coalesce(*(F.when(F.col("metric") == m, F.col(f"{s}_{m}_{j}")) for m in metrics))
 
-    def off(j: int, q: float) -> Column:
-        rank = F.greatest(F.ceil(F.col("n") * q - 1e-9), F.lit(1))
-        return F.greatest(pick("below", j) + 1 - rank, rank - F.greatest(pick("upto", j), pick("below", j)), F.lit(0)) / F.col("n")
+    def off(m: str, j: int, q: float) -> Column:
+        n, below, upto = F.col(f"{m}_n"), F.col(f"below_{m}_{j}"), F.col(f"upto_{m}_{j}")
+        rank = F.greatest(F.ceil(n * q - 1e-9), F.lit(1))
+        return F.try_divide(F.greatest(below + 1 - rank, rank - F.greatest(upto, below), F.lit(0)), n)
 
-    return digests.join(counts, keys).select(*digests.columns, F.greatest(*(off(j, q) for j, q in enumerate(QUANTILES))).alias("error"))
+    errors = {f"{m}_error": F.greatest(*(off(m, j, q) for j, q in enumerate(QUANTILES))) for m in metrics}
+    return digests.join(counts, keys).select(*(errors[c].alias(c) if c in errors else F.col(c) for c in digests.columns))
 
 
 def stop_values(stop_times: DataFrame) -> DataFrame:
@@ -255,11 +272,13 @@ def stop_values(stop_times: DataFrame) -> DataFrame:
 
 
 def _result(d: DataFrame, day: Column) -> DataFrame:
-    return d.select("stop_id", day.alias("service_date"), "metric", "n", *(F.col("estimates")[k].alias(f"p{int(q * 100)}") for k, q in enumerate(QUANTILES)), F.col("error").alias("rank_error"))
+    one = lambda m: F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{c}").alias(c) for c in ("n", "estimates", "error")))
+    rows = d.select("stop_id", day.alias("service_date"), F.explode(F.array(*map(one, METRICS))).alias("x")).where("x.n > 0")
+    return rows.select("stop_id", "service_date", "x.metric", "x.n", *(F.col("x.estimates")[k].alias(f"p{int(q * 100)}") for k, q in enumerate(QUANTILES)), F.col("x.error").alias("rank_error"))
 
 
 def daily_digests(values: DataFrame, split_rows: int = 1_000_000) -> DataFrame:
-    """One digest per stop, day and metric; groups above ``split_rows`` rows are cut, merged and certified by a second pass."""
+    """One row of digests per stop and day; groups above ``split_rows`` rows are cut, merged and certified by a second pass."""
     keys = ["stop_id", "service_date"]
     large = written(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows).withColumn("parts", F.ceil(F.col("rows") / split_rows)).drop("rows"))
     if large.isEmpty():
@@ -267,7 +286,7 @@ def daily_digests(values: DataFrame, split_rows: int = 1_000_000) -> DataFrame:
     whole = build(values.join(large, keys, "left_anti"), keys, list(METRICS))
     cut = values.join(large, keys).withColumn("part", F.pmod("row_no", "parts"))
     parts = build(cut, [*keys, "part"], list(METRICS))
-    return written(whole.unionByName(certify(cut, merge(parts, keys), keys, list(METRICS)).select(whole.columns)))
+    return written(whole.unionByName(certify(cut, merge(parts, keys, list(METRICS)), keys, list(METRICS)).select(whole.columns)))
 
 
 def stop_percentiles(stop_times: DataFrame) -> DataFrame:
@@ -280,5 +299,5 @@ def stop_percentiles(stop_times: DataFrame) -> DataFrame:
     """
     values = stop_values(stop_times)
     days = daily_digests(values)
-    whole = certify(values, written(merge(days, ["stop_id"])), ["stop_id"], list(METRICS))
+    whole = certify(values, written(merge(days, ["stop_id"], list(METRICS))), ["stop_id"], list(METRICS))
     return _result(days, F.col("service_date")).unionByName(_result(whole, F.lit(None).cast("date")))
