@@ -39,8 +39,8 @@ from trellisq.session import written
 READ_OF_UTF8 = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman")
 WRITTEN = ("utf-8", "cp1252", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "cp1253", "iso8859-7", "cp1254", "mac_roman", "mac_cyrillic", "mac_greek", "cp437", "cp850", "cp852")
 READ = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "cp1253", "iso8859-7", "cp1254", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852")
-#: Ranges of the characters that are looked for: Latin, Greek, Cyrillic, combining marks, Vietnamese, punctuation and signs.
-REPERTOIRE = ((0xA0, 0x17F), (0x1A0, 0x1B0), (0x218, 0x21B), (0x2C6, 0x2DC), (0x300, 0x328), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x1EA0, 0x1EF9), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF))
+#: Ranges of the characters that are looked for: Latin, Greek, Cyrillic, combining marks, Vietnamese, punctuation, and the signs that misreadings bring in.
+REPERTOIRE = ((0x80, 0x17F), (0x192, 0x192), (0x1A0, 0x1B0), (0x218, 0x21B), (0x2C6, 0x2DC), (0x300, 0x328), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x1EA0, 0x1EF9), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2126), (0x2202, 0x2265), (0x2310, 0x2321), (0x2500, 0x25CA), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF))
 #: Lead characters that sound text may well have before another of the same kind: one match alone proves nothing.
 WEAK_LEADS = "\u2013\u2014\u0152\u0153\u00f0"
 #: Closing signs that may follow a capital with a tilde or circumflex in sound text.
@@ -64,64 +64,54 @@ def repertoire() -> list[str]:
     return [chr(c) for lo, hi in REPERTOIRE for c in range(lo, hi + 1) if unicodedata.category(chr(c)) != "Cn"]
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    """Garbled sequence -> (length, [(original, strong)]), for every character and reading."""
-    found: dict[str, dict[str, bool]] = {}
-    for c in repertoire():
-        for r in READ_OF_UTF8:
-            try:
-                g = _read(c.encode("utf-8"), r)
-            except UnicodeDecodeError:
-                continue
-            letters = all(x.isalpha() for x in g)
-            latin = r in ("cp1252", "latin-1", "iso8859-15")
-            strong = len(g) > 2 or g[0] not in WEAK_LEADS and (latin or not letters)
-            found.setdefault(g, {}).setdefault(c, strong)
+@lru_cache(maxsize=None)
+def automaton(reading: str) -> ahocorasick.Automaton:
+    """Garbled sequence -> (length, original, strong), for every character written as UTF-8 and read as ``reading``."""
     a = ahocorasick.Automaton()
-    for g, by in found.items():
-        # one sequence stands for one character in nearly all cases; the first reading's goes first
-        c, strong = next(iter(by.items()))
+    latin = reading in ("cp1252", "latin-1", "iso8859-15")
+    for c in repertoire():
+        try:
+            g = _read(c.encode("utf-8"), reading)
+        except UnicodeDecodeError:
+            continue
+        strong = len(g) > 2 or g[0] not in WEAK_LEADS and (latin or not all(x.isalpha() for x in g))
         a.add_word(g, (len(g), c, strong))
     a.make_automaton()
     return a
 
 
-def _spans(text: str) -> list[tuple[int, int, str]]:
-    """Matched spans (start, end, original) from left to right, longest first, without overlap."""
+def _spans(text: str, reading: str) -> list[tuple[int, int, str]]:
+    """Matched spans (start, end, original) of one reading from left to right, longest first, without overlap."""
     places: dict[int, tuple[int, str, bool]] = {}
-    for end, (size, c, strong) in automaton().iter(text):
+    for end, (size, c, strong) in automaton(reading).iter(text):
         start = end - size + 1
         if start not in places or places[start][0] < size:
             places[start] = (size, c, strong)
     out: list[tuple[int, int, str]] = []
     i = 0
-    keys = sorted(places)
-    k = 0
-    while k < len(keys):
-        if keys[k] < i:
-            k += 1
+    for start in sorted(places):
+        if start < i:
             continue
-        start = i = keys[k]
+        i = start
         parts, proof, weak = [], False, 0
         while i in places:
             size, c, strong = places[i]
-            if strong and text[i + 1] in CLOSING and size == 2 and not text[i + 2 : i + 3].isalpha() and text[max(0, i - 1) : i].isupper():
+            if strong and size == 2 and text[i + 1] in CLOSING and not text[i + 2 : i + 3].isalpha() and text[max(0, i - 1) : i].isupper():
                 strong = False
             proof, weak = proof or strong, weak + (not strong)
             parts.append(c)
             i += size
         if proof or weak > 1:
             out.append((start, i, "".join(parts)))
-        k += 1
     return out
 
 
-def mend(text: str, rounds: int = 6) -> tuple[str, bool]:
+def mend(text: str, rounds: int = 8) -> tuple[str, bool]:
     """(text with every matched span replaced, whether there was one), for repeated misreading again and again."""
     hit = False
     for _ in range(rounds):
-        spans = _spans(text)
+        # the reading that explains most of the text goes first; another part may have another one
+        spans = max((_spans(text, r) for r in READ_OF_UTF8), key=lambda x: sum(e - s for s, e, _ in x))
         if not spans:
             break
         hit = True
