@@ -256,14 +256,13 @@ def entry_cost(node: str) -> int:
 def a_star_pairs(edges: DataFrame, pairs: DataFrame, heuristic: Heuristic) -> DataFrame:
     """The report of an A* run for every pair (source, target)."""
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast((adjacency(edges), heuristic))
+    graph = spark.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, h = shared.value
         for b in batches:
             rows = []
             for s, t in zip(b["source"], b["target"]):
-                g, parent, n = a_star(graph, s, t, h)
+                g, parent, n = a_star(graph.value, s, t, heuristic)
                 p = path(parent, s, t)
                 rows.append((s, t, n, len(p) or None, g[t] if p else None, len(p) / n if p and n else None, p))
             yield pd.DataFrame(rows, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
@@ -362,3 +361,12 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> Da
         if best.where("fresh").isEmpty():
             return best.drop("fresh")
     raise RuntimeError(f"no end after {most_rounds} rounds: is there a cycle of negative weight?")
+
+
+def distance_listing(tree: DataFrame, vertices: DataFrame, unreachable: bool = False) -> DataFrame:
+    """Node, dist, final of a search tree by rising distance; ``final`` is false where the search was cut.
+
+    With ``unreachable`` every vertex is listed, those not reached with nulls.
+    """
+    held = vertices.select(F.col("id").alias("node")).join(tree, "node", "left" if unreachable else "inner")
+    return held.select("node", "dist", F.col("settled_rank").isNotNull().alias("final")).orderBy(F.col("dist").asc_nulls_last(), "node")

@@ -117,7 +117,7 @@ def number_rows(df: DataFrame, at: str = "_at") -> DataFrame:
 
 def scan_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 where the file is valid UTF-8, Latin-1 otherwise."""
-    bad = spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1).count()
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return scan(spark, path, encoding="ISO-8859-1" if bad else "UTF-8")
 
 
