@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellisq.session import written
+from trellisq.session import discard, written
 
 MAX_BROADCAST_EDGES = 1_000_000
 ENTRY_SECONDS = 60
@@ -133,7 +133,10 @@ def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
     """
     spark = edges.sparkSession
     graph = spark.sparkContext.broadcast(adjacency(edges))
-    wanted = spark.sparkContext.broadcast(sorted(r[0] for r in (targets or sources).select("id").distinct().limit(MAX_BROADCAST_EDGES).collect()))
+    ends = (targets or sources).select("id").distinct().limit(MAX_BROADCAST_EDGES + 1).collect()
+    if len(ends) > MAX_BROADCAST_EDGES:
+        raise ValueError(f"more than {MAX_BROADCAST_EDGES} targets: use relax()")
+    wanted = spark.sparkContext.broadcast(sorted(r[0] for r in ends))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -349,7 +352,7 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> Da
     """J9 at any size: source, node, dist: distances by rounds of relaxation over joined tables.
 
     Only nodes whose distance fell in the last round send it on.  The state is written
-    to the shared folder every round, which also cuts the lineage.
+    to the shared folder every round, which also cuts the lineage; the round before is removed.
     """
     best = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")).distinct())
     step = edges.select(F.col("src").alias("node"), "dst", "weight")
@@ -357,7 +360,8 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> Da
         sent = best.where("fresh").join(step, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("dist"))
         both = best.select("source", "node", "dist", F.lit(False).alias("new")).unionByName(sent.select("source", "node", "dist", F.lit(True).alias("new")))
         least = both.groupBy("source", "node").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("old"))
-        best = written(least.select("source", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        last, best = best, written(least.select("source", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
+        discard(last)
         if best.where("fresh").isEmpty():
             return best.drop("fresh")
     raise RuntimeError(f"no end after {most_rounds} rounds: is there a cycle of negative weight?")

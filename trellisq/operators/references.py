@@ -8,8 +8,8 @@ range are sound as a whole; only the keys in between are looked at row by row.
 
 A key that holds a third of all rows therefore crosses the first shuffle as one row per
 map task, and the second pass over the rows meets only suspect keys, salted by row.
-A parent with very many versions is reduced to the prefix maxima of its spans before
-its spans are gathered.
+A parent with very many versions is reduced to its separate times of validity before
+these are gathered.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAR = "9999-12-31 00:00:00"
@@ -68,10 +68,12 @@ def children(tables: dict[str, DataFrame], refs: Sequence[Reference]) -> DataFra
 
 
 def parents(tables: dict[str, DataFrame], refs: Sequence[Reference]) -> DataFrame:
-    """Validity spans of the parent keys: parent, key, since, until (until far away when never withdrawn).
+    """Validity spans of the parent keys: parent, key, since, until, disjoint per key.
 
-    Rows that never were valid for anyone (a null load time, or withdrawn before they
-    were loaded) are left out.
+    ``until`` is far away for rows that were never withdrawn.  Rows that never were valid
+    for anyone (a null load time, or withdrawn before they were loaded) are left out.
+    Versions are combined per load time before the shuffle, then spans that touch are
+    joined, so a key has as many spans as it had separate times of validity.
     """
     out = None
     for name, key in dict.fromkeys((r.parent, r.key) for r in refs):
@@ -82,7 +84,11 @@ def parents(tables: dict[str, DataFrame], refs: Sequence[Reference]) -> DataFram
             F.coalesce(F.col("deleted_at"), F.to_timestamp(F.lit(FAR)).cast("timestamp_ntz").cast(tables[name].schema["deleted_at"].dataType)).alias("until"),
         )
         out = p if out is None else out.unionByName(p)
-    return out.where(F.col("key").isNotNull() & (F.col("since") < F.col("until"))).distinct()
+    versions = out.where(F.col("key").isNotNull() & (F.col("since") < F.col("until"))).groupBy("parent", "key", "since").agg(F.max("until").alias("until"))
+    w = Window.partitionBy("parent", "key").orderBy("since")
+    before = F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = versions.withColumn("new", F.coalesce(F.col("since") > before, F.lit(True)).cast("long")).withColumn("island", F.sum("new").over(w))
+    return islands.groupBy("parent", "key", "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("island")
 
 
 def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE, salts: int = 16) -> DataFrame:
@@ -101,7 +107,7 @@ def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE,
         F.max(F.col("loaded_at").isNull()).alias("unknown"),
     )
     spans = parents(tables, refs)
-    parent_side = spans.groupBy(keys).agg(F.collect_set(F.struct("since", "until")).alias("spans"))
+    parent_side = spans.groupBy(keys).agg(F.collect_list(F.struct("since", "until")).alias("spans"))
     tagged = child_side.select(*keys, "first", "last", "unknown", F.lit(None).cast(parent_side.schema["spans"].dataType).alias("spans")).unionByName(
         parent_side.select(
             *keys,

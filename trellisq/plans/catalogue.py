@@ -13,6 +13,7 @@ from trellisq.graph import model, report, search
 from trellisq.operators import checks, stages, stats
 from trellisq.operators import timetable as tt
 from trellisq.plans.problems import _BLANKS, _SECONDS
+from trellisq.session import written
 from trellisq.sources.gtfs import coordinates, last_rows, names, pathway_pairs
 from trellisq.sources.tables import table
 
@@ -537,8 +538,6 @@ def _hub(edges: DataFrame) -> DataFrame:
 
 @query(_RELAX.format(parts=cte("ed").removeprefix("WITH "), start="src, src, CAST(0 AS BIGINT) FROM (SELECT src FROM ed GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)", edges="ed") + "SELECT source, node, dist FROM d")
 def hub_distances(t: Tables) -> DataFrame:
-    from trellisq.session import written
-
     e = written(model.edges(t.weights))
     return search.relax(e, _hub(e))
 
@@ -594,11 +593,11 @@ def search_mismatches(t: Tables) -> DataFrame:
 
 @query()
 def entrance_routes(t: Tables) -> DataFrame:
-    """Each entrance to the next one by id, on the graph without entrances."""
+    """Each entrance to the first one by id, on the graph without entrances."""
     e = model.edges(t.weights)
     _, out, back = model.entrance_maps(e)
     ids = out.select("entrance").union(back.select("entrance")).distinct()
-    asked = ids.select(F.col("entrance").alias("source"), F.lead("entrance").over(Window.orderBy("entrance")).alias("target")).where("target is not null")
+    asked = ids.select(F.col("entrance").alias("source")).crossJoin(ids.agg(F.min("entrance").alias("target"))).where("source <> target")  # one row on the right
     return search.routes(e.where("type <> 'PW'"), asked, back, out, without_entrances=True).withColumn("path", F.array_join("path", " -> "))
 
 
