@@ -279,20 +279,20 @@ def leaks(
     and equal passages each get their rows.
     """
     spark = documents.sparkSession
-    held = items.where(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long"), passage_col)
-    n_words = held.agg(F.sum(F.size(F.split(passage_col, r"\s+")))).first()[0] or 0
+    held = items.where(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long").alias(item_col), F.col(passage_col).alias("passage"))
+    passages = held.select("passage").distinct()
+    n_words = passages.agg(F.sum(F.size(F.split("passage", r"\s+")))).first()[0] or 0
     blocks = -(-n_words // block_words) or 1
+    schema = pa.schema([("k", pa.int64()), (id_col, pa.int64()), ("covered", pa.float64()), ("stretch", pa.bool_())])
     out = None
     for block in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64(passage_col), F.lit(blocks)) == block).collect()
-        groups: dict[tuple[str, ...], list[int]] = {}
-        for i, p in rows:
-            groups.setdefault(tuple(words(p)), []).append(i)
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for (p,) in passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == block).collect():
+            groups.setdefault(tuple(words(p)), []).append(p)
         keys = [k for k in groups if len(k) >= SEED]
         index = spark.sparkContext.broadcast(Index([list(k) for k in keys]))
-        schema = pa.schema([("k", pa.int64()), (id_col, pa.int64()), ("covered", pa.float64()), ("stretch", pa.bool_())])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, schema=schema) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, texts = b.column(0).cast(pa.int64()).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
                 for lo, hi in chunks(texts):
@@ -300,7 +300,7 @@ def leaks(
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), schema)], schema=schema) if got else pa.RecordBatch.from_pylist([], schema=schema)
 
         found = documents.select(id_col, text_col).mapInArrow(run, f"k long, `{id_col}` long, covered double, stretch boolean")
-        names = spark.createDataFrame([(n, i) for n, k in enumerate(keys) for i in groups[k]], f"k long, `{item_col}` long")
+        names = held.join(spark.createDataFrame([(n, p) for n, k in enumerate(keys) for p in groups[k]], "k long, passage string"), "passage").select("k", item_col)
         part = found.join(names, "k").select(item_col, id_col, "covered", "stretch")
         out = part if out is None else out.unionByName(part)
     return out
