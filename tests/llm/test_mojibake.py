@@ -32,7 +32,7 @@ def test_only_matched_spans_change():
 
 
 def test_signs():
-    for bad in ("NussschlцЯchen", "Ïåðåóëîê", "Kˆhlergasse"):
+    for bad in ("NussschlцЯchen", "Ïåðåóëîê", "Kˆhlergasse", "LanternÂ"):
         assert M.suspicious(bad)
     assert not M.suspicious("3½") and not M.suspicious("Til·lers")
 

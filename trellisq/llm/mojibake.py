@@ -51,6 +51,9 @@ _LOST = re.compile("[\ufffd\u0080-\u009f]")
 _EDGES = "()[]{}<>,;:/\\-.\"!?\u00ab\u00bb\u2013\u2014\u2026'"
 _IN_WORD = re.compile("(?<=[^\\W\\d_])[\u221a\u00ac\u2202\u0192\u02d9\u02c6\u00b8\u02dc\u2030\u201e\u201d\ufb02\ufb01\u00f7\u00d7\u00a4\u00a5\u00a3\u00a2\u00a7\u00a8\u00a9\u00ae\u00b1\u00b9\u00b2\u00b3\u00bc\u00bd\u00be\u00bf\u00a1\u2248\u2260\u2265\u2264\u2211\u222b\u2500-\u259f](?=[^\\W\\d_])")
 
+#: What is left of a no-break space read as two characters, at the end of a word in small letters.
+_TAIL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]\u00c2\\Z")
+
 
 def _read(data: bytes, encoding: str, errors: str = "strict") -> str:
     """Decode as readers do: bytes that a Windows code page leaves open become C1 controls."""
@@ -140,7 +143,7 @@ def suspicious(word: str) -> bool:
             return True
         if len(run) >= 4 and all("\u00c0" <= c <= "\u00ff" for c in run):
             return True
-    return bool(_IN_WORD.search(word))
+    return bool(_IN_WORD.search(word) or _TAIL.search(word))
 
 
 def garbled_forms(word: str) -> set[str]:
