@@ -280,7 +280,13 @@ def _result(d: DataFrame, day: Column) -> DataFrame:
 def daily_digests(values: DataFrame, split_rows: int = 1_000_000) -> DataFrame:
     """One row of digests per stop and day; groups above ``split_rows`` rows are cut, merged and certified by a second pass."""
     keys = ["stop_id", "service_date"]
-    large = written(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows).withColumn("parts", F.ceil(F.col("rows") / split_rows)).drop("rows"))
+    # a day can only be large where its stop is: days are counted for the large stops alone
+    count = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows)
+    stops = written(count(values, ["stop_id"]).select("stop_id"))
+    if stops.isEmpty():
+        return written(build(values, keys, list(METRICS)))
+    days = count(values.join(stops, "stop_id", "left_semi"), keys)
+    large = written(days.withColumn("parts", F.ceil(F.col("rows") / split_rows)).drop("rows"))
     if large.isEmpty():
         return written(build(values, keys, list(METRICS)))
     whole = build(values.join(large, keys, "left_anti"), keys, list(METRICS))
