@@ -138,18 +138,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, size: int = BATC
         yield t, numbered(t)
 
 
-_FIELDS = [("n", pa.int64()), ("estimates", pa.list_(pa.float64())), ("error", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("mean", "weight", "low", "high"))]
-_SQL = {"n": "long", "error": "double"}
+_ESTIMATES = [f"q{j}" for j in range(len(QUANTILES))]
+_FIELDS = [("n", pa.int64()), *((c, pa.float64()) for c in (*_ESTIMATES, "error")), *((c, pa.list_(pa.float64())) for c in ("mean", "weight", "low", "high"))]
+_SQL = {"n": "long", **dict.fromkeys((*_ESTIMATES, "error"), "double")}
 
 
 def _columns(d: Digests, groups: int, error: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> list[pa.Array]:
-    """n, estimates, error, mean, weight, low, high of one metric; null lists for groups without values."""
+    """n, the estimates, error, mean, weight, low, high of one metric; null lists for groups without values."""
     est, n = quantiles(d, groups)
     none = pa.array(n == 0)
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(d.group, minlength=groups))]).astype(np.int32))
-    estimates = pa.ListArray.from_arrays(pa.array(np.arange(0, est.size + 1, est.shape[1], dtype=np.int32)), pa.array(est.ravel()))
     err = pa.array(error(est, n)) if error else pa.nulls(groups, pa.float64())
-    return [pa.array(n.astype(np.int64)), estimates, err, pa.ListArray.from_arrays(offsets, pa.array(d.mean), mask=none), *_spare(d, groups)]
+    return [pa.array(n.astype(np.int64)), *map(pa.array, est.T), err, pa.ListArray.from_arrays(offsets, pa.array(d.mean), mask=none), *_spare(d, groups)]
 
 
 def _spare(d: Digests, groups: int) -> list[pa.Array]:
@@ -179,7 +179,7 @@ def _schema(df: DataFrame, keys: list[str], metrics: list[str]) -> tuple[str, pa
 
 
 def build(df: DataFrame, keys: list[str], metrics: list[str], delta: float = DELTA) -> DataFrame:
-    """<keys> and, per metric, n, estimates, error, mean, weight, low, high (prefixed by its name): one row per group.
+    """<keys> and, per metric, n, the estimates q0 .. q4, error, mean, weight, low, high (prefixed by its name): one row per group.
 
     Rows are hash-partitioned by the keys and met in their order; nulls are no values
     (n = 0 without any); the error is counted on the group's own values.  weight, low and
@@ -242,11 +242,11 @@ def merge(digests: DataFrame, keys: list[str], metrics: list[str], delta: float
 def certify(values: DataFrame, digests: DataFrame, keys: list[str], metrics: list[str], salts: int = 8) -> DataFrame:
     """The digests with their rank errors, counted in a second pass over the values (salted by row_no)."""
     qs = range(len(QUANTILES))
-    wide = digests.select(*keys, *(f"{m}_estimates" for m in metrics), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    wide = digests.select(*keys, *(f"{m}_{c}" for m in metrics for c in _ESTIMATES), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     held = values.select(*keys, *metrics, F.pmod("row_no", F.lit(salts)).cast("int").alias("salt")).join(wide, [*keys, "salt"])
     sums = held.groupBy(*keys, "salt").agg(
-        *(F.count_if(F.col(m) < F.col(f"{m}_estimates")[j]).alias(f"below_{m}_{j}") for m in metrics for j in qs),
-        *(F.count_if(F.col(m) <= F.col(f"{m}_estimates")[j]).alias(f"upto_{m}_{j}") for m in metrics for j in qs),
+        *(F.count_if(F.col(m) < F.col(f"{m}_q{j}")).alias(f"below_{m}_{j}") for m in metrics for j in qs),
+        *(F.count_if(F.col(m) <= F.col(f"{m}_q{j}")).alias(f"upto_{m}_{j}") for m in metrics for j in qs),
     )
     counts = sums.groupBy(*keys).agg(*(F.sum(f"{s}_{m}_{j}").alias(f"{s}_{m}_{j}") for s in ("below", "upto") for m in metrics for j in qs))
 
@@ -272,9 +272,9 @@ def stop_values(stop_times: DataFrame) -> DataFrame:
 
 
 def _result(d: DataFrame, day: Column) -> DataFrame:
-    one = lambda m: F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{c}").alias(c) for c in ("n", "estimates", "error")))
+    one = lambda m: F.struct(F.lit(m).alias("metric"), *(F.col(f"{m}_{c}").alias(c) for c in ("n", *_ESTIMATES, "error")))
     rows = d.select("stop_id", day.alias("service_date"), F.explode(F.array(*map(one, METRICS))).alias("x")).where("x.n > 0")
-    return rows.select("stop_id", "service_date", "x.metric", "x.n", *(F.col("x.estimates")[k].alias(f"p{int(q * 100)}") for k, q in enumerate(QUANTILES)), F.col("x.error").alias("rank_error"))
+    return rows.select("stop_id", "service_date", "x.metric", "x.n", *(F.col(f"x.q{k}").alias(f"p{int(q * 100)}") for k, q in enumerate(QUANTILES)), F.col("x.error").alias("rank_error"))
 
 
 def daily_digests(values: DataFrame, split_rows: int = 1_000_000) -> DataFrame:
