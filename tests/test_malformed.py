@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from trellisq.sources.malformed import assemble, load_feed, parse_line, parse_records, rejected
+from trellisq.sources.malformed import assemble, load_feed, parse_line, parse_records, read_deliveries, rejected
 
 ROW = "line_id long, feed_name string, feed_date date, raw_line string"
 
@@ -88,3 +88,14 @@ def test_tables(spark):
     assert load_feed(df, "pathways.txt").first().traversal_time == 30
     assert sorted((r.line_id, r.reason) for r in rejected(df).collect()) == [(2, "not_a_number"), (4, "unknown_feed"), (5, "null_line")]
     assert parse_records(df.limit(0)).count() == 0
+
+
+def test_delivered_files(spark, tmp_path):
+    (tmp_path / "stop_times.txt").write_bytes('\ufefft,1,"a\nb",x,y\r\nt,2,s,"x,y\nt,3,s,"x,y\n'.encode())
+    (tmp_path / "pathways.txt").write_bytes(b"p,a,b,1,0,60,w\n")
+    (tmp_path / "other.csv").write_bytes(b"ignored")
+    df = read_deliveries(spark, str(tmp_path))
+    assert sorted((r.feed_name, r.raw_line) for r in df.collect()) == [("pathways.txt", "p,a,b,1,0,60,w"), ("stop_times.txt", 't,1,"a\nb",x,y\r'), ("stop_times.txt", 't,2,s,"x,y\nt,3,s,"x,y')]
+    assert [r.stop_id for r in load_feed(df, "stop_times.txt").collect()] == ["a\nb"]
+    assert [r.reason for r in rejected(df).collect()] == ["text_after_quote"]
+    assert df.select("line_id").distinct().count() == 3

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INT_MAX = 2147483647
@@ -91,10 +91,14 @@ def assemble(lines: Iterator[str]) -> Iterator[str]:
     held: list[str] = []
     for line in lines:
         held.append(line)
-        record = "\n".join(held)
-        if '"' in record and _quote_state(record) == "unclosed_quote":
+        # while a field is open only a line with a quote can close it
+        if '"' in line:
+            is_open = _quote_state("\n".join(held)) == "unclosed_quote"
+        else:
+            is_open = len(held) > 1
+        if is_open:
             continue
-        yield record
+        yield "\n".join(held)
         held = []
     if held:
         yield "\n".join(held)
@@ -171,6 +175,31 @@ def parse_records(df: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
     return df.select("line_id", "feed_name", "feed_date", "raw_line").mapInArrow(run, schema)
 
 
+def read_deliveries(spark: SparkSession, folder: str, pattern: str = "*.txt", header: bool = False) -> DataFrame:
+    """line_id, feed_name, feed_date, raw_line: the records of delivered text files, assembled quote-aware.
+
+    The feed is the file's name, the date null.  Where a record begins depends on all
+    quotes before it, so a file is one task: deliveries should come in many files.  An
+    unclosed quote swallows the lines up to the next quote that closes it; the record is
+    then rejected with its whole text, so no line is lost.
+    """
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("feed_name"), "value")
+    out = pa.schema([("feed_name", pa.string()), ("raw_line", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines = text.removeprefix("\ufeff").split("\n")
+                if lines and not lines[-1]:
+                    lines.pop()
+                records = list(assemble(iter(lines)))[int(header) :]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(records), pa.string()), pa.array(records, pa.string())], schema=out)
+
+    return files.mapInArrow(run, "feed_name string, raw_line string").select(
+        F.monotonically_increasing_id().alias("line_id"), "feed_name", F.lit(None).cast("date").alias("feed_date"), "raw_line"
+    )
+
+
 def load_feed(df: DataFrame, feed_name: str, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
     """The valid records of one feed as typed columns (the number column INT, the others STRING)."""
     feed = feeds[feed_name]
