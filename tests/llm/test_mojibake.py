@@ -32,9 +32,9 @@ def test_only_matched_spans_change():
 
 
 def test_signs():
-    for bad in ("NussschlцЯchen", "Ïåðåóëîê", "Kˆhlergasse", "LanternÂ"):
+    for bad in ("NussschlцЯchen", "Ïåðåóëîê", "Kˆhlergasse", "LanternÂ", "Ђ", "3Ѕ"):
         assert M.suspicious(bad)
-    assert not M.suspicious("3½") and not M.suspicious("Til·lers")
+    assert not M.suspicious("3½") and not M.suspicious("Til·lers") and not M.suspicious("і") and not M.suspicious("Ёлка")
 
 
 def test_table(spark):

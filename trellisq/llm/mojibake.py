@@ -54,6 +54,9 @@ _IN_WORD = re.compile("(?<=[^\\W\\d_])[\u221a\u00ac\u2202\u0192\u02d9\u02c6\u00b
 #: What is left of a no-break space read as two characters, at the end of a word in small letters.
 _TAIL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]\u00c2\\Z")
 
+#: Symbols read as Cyrillic: rare letters that stand alone or end a number.
+_ALONE = re.compile("\\A[\u0402\u0403\u0453\u0409\u040a\u040c\u040b\u040f\u0452\u0459\u045a\u045c\u045b\u045f\u040e\u045e\u0408\u0490\u0405\u0455]\\Z|[0-9][\u0402\u0403\u0453\u0409\u040a\u040c\u040b\u040f\u0452\u0459\u045a\u045c\u045b\u045f\u040e\u045e\u0408\u0490\u0405\u0455\u0406\u0456]\\Z")
+
 
 def _read(data: bytes, encoding: str, errors: str = "strict") -> str:
     """Decode as readers do: bytes that a Windows code page leaves open become C1 controls."""
@@ -143,7 +146,7 @@ def suspicious(word: str) -> bool:
             return True
         if len(run) >= 4 and all("\u00c0" <= c <= "\u00ff" for c in run):
             return True
-    return bool(_IN_WORD.search(word) or _TAIL.search(word))
+    return bool(_IN_WORD.search(word) or _TAIL.search(word) or _ALONE.search(word))
 
 
 def garbled_forms(word: str) -> set[str]:
