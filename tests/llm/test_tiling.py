@@ -92,3 +92,25 @@ def test_table(spark, block_words):
     assert found == [(1, 100), (2, 101), (2, 101), (2, 105), (3, 100)]
     empty = spark.createDataFrame([], "item_id long, passage string")
     assert leaks(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == 0
+
+
+@pytest.mark.parametrize("every", [8, 9])
+def test_edited_copy_beside_a_reordered_one(every):
+    rng = random.Random(every)
+    item = rng.sample(VOC, 48)
+    reordered = item[33:] + ["x"] * 9 + item[17:33] + ["y"] * 9 + item[:17]
+    copy = [f"changed{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+    for doc in (reordered + ["z"] * 400 + copy, copy + ["z"] * 400 + reordered):
+        ((_, _, _, yes),) = Index([item]).search([" ".join(doc)])
+        assert yes
+    ((_, _, _, yes),) = Index([item]).search([" ".join(reordered + ["z"] * 400 + item[33:])])
+    assert not yes
+
+
+def test_windows_lose_no_stretch():
+    rng = random.Random(11)
+    for k in range(12):
+        item, part = planted(rng, rng.choice([25, 30]), rng.choice([3, 4]), 2)
+        doc = item[20:] + [rng.choice(VOC) for _ in range(40)] + part + [rng.choice(VOC) for _ in range(3)] + item[:20]
+        got = [yes for _, _, _, yes in Index([item]).search([" ".join(doc)])]
+        assert bool(got and got[0]) == brute(item, doc), (k, item, doc)

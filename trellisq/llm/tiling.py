@@ -8,7 +8,7 @@ until none is left, so that tiles do not overlap on either side.  The covered sh
 the passage is reported, whatever the order of the tiles (reordered passages); a leak in
 the sense of the data is a run of at least 25 passage words in order of which at most one
 in eight is changed, dropped or added, decided exactly from the tiles or, where they do not
-settle it, by an alignment.
+settle it, by an alignment around every place where seeds stand.
 
 Why seeds of five words lose nothing: 25 or more words with at most an eighth edited keep
 22 intact in at most four stretches, or more in as many; one of them has six words.
@@ -232,21 +232,42 @@ class Index:
         share = sum(x.size for x in found) / m
         if any(x.size >= LEAST_WORDS for x in found) or chained(found, m):
             return t, k, share, True
-        # windows of the document around the tiles, each as long as the passage may stretch
-        reach = m + _allowed(m)
-        tried = -1
-        for x in sorted(found, key=lambda x: x.doc):
-            if x.doc + x.size <= tried:
-                continue
-            lo, hi = max(0, x.doc - reach), min(len(doc), x.doc + x.size + reach)
-            if self._possible(item, doc, x) and aligned(item, doc[lo:hi]):
+        for lo, hi in self._windows(item, doc, place, where):
+            if aligned(item, doc[lo:hi]):
                 return t, k, share, True
-            tried = x.doc + x.size
         return t, k, share, False
 
+    def _windows(self, item: np.ndarray, doc: np.ndarray, place: np.ndarray, where: np.ndarray) -> list[tuple[int, int]]:
+        """The parts of the document that may hold a stretch, from all seed places, sorted and without overlap.
+
+        The seeds of a stretch lie on diagonals (document place less passage place) no
+        farther apart than the edits allowed and cover ten passage words or more; from its
+        lowest diagonal the stretch lies within the passage's length and the edits allowed.
+        Tiles do not tell: words that are tiled elsewhere in the document have no tile here.
+        """
+        m = len(item)
+        room = _allowed(m)
+        by = np.lexsort((place, where - place))
+        diagonal, place = (where - place)[by], place[by]
+        lowest, first = np.unique(diagonal, return_index=True)
+        last = np.searchsorted(diagonal, lowest + room, "right")
+        out: list[tuple[int, int]] = []
+        for d, a, b in zip(lowest.tolist(), first.tolist(), last.tolist()):
+            if b - a < 2:
+                continue
+            cover = SEED + np.minimum(np.diff(np.sort(place[a:b])), SEED).sum()
+            if cover < 2 * SEED or not self._possible(item, doc, d):
+                continue
+            lo, hi = max(0, d - room), min(len(doc), d + m + 2 * room)
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
+
     @staticmethod
-    def _possible(item: np.ndarray, doc: np.ndarray, x: Tile) -> bool:
-        """A bound that spares the alignment: enough passage words near the tile's diagonal.
+    def _possible(item: np.ndarray, doc: np.ndarray, diagonal: int) -> bool:
+        """A bound that spares the alignment: enough passage words near the diagonal.
 
         Any stretch of 25 words and an eighth of edits has, in some run of 25 passage
         words, at least 18 that stand in the document no farther off the diagonal than
@@ -256,7 +277,7 @@ class Index:
         slack = _allowed(m) + 1
         near = np.zeros(m, bool)
         for s in range(-slack, slack + 1):
-            j = np.arange(m) + x.doc - x.item + s
+            j = np.arange(m) + diagonal + s
             ok = (j >= 0) & (j < len(doc))
             near[ok] |= item[ok] == doc[j[ok]]
         runs = np.convolve(near, np.ones(min(LEAST_WORDS, m), int), "valid")
