@@ -49,6 +49,22 @@ def test_best_boundary_is_taken():
     assert got[0][3] == "heading" and text[got[0][1] :].startswith("## Next")
 
 
+@pytest.mark.parametrize("kind, first", [("paragraph", "Part one\n\n"), ("line", "Part one\n"), ("sentence", "Part one. "), ("heading", "Part one\n# ")])
+def test_boundary_in_the_first_half_is_taken(kind, first):
+    text = first + "word " * 60
+    got = check(text, SMALL)
+    assert got[0][3] == kind and text[: got[0][1]] == first.removesuffix("# ")
+    assert {x[3] for x in got[1:-1]} == {"word"}
+    # not a whole piece again, and from a word's start
+    assert all(text[x[0] - 1 : x[0] + 1].strip() != text[x[0] - 1 : x[0] + 1] or not text[x[0] - 1].isalnum() for x in got[1:])
+
+
+def test_last_boundary_of_any_kind_in_the_first_half():
+    text = "# A\n\nOne two. Three four. " + "word " * 60
+    got = check(text, SMALL)
+    assert got[0][3] == "sentence" and text[: got[0][1]] == "# A\n\nOne two. Three four. "
+
+
 def test_boundaries_are_sorted():
     for kind, at in boundaries("A. B!\n\nTitle\n=====\nC? d。e\r\n# x\n"):
         assert at == sorted(at), kind

@@ -3,8 +3,9 @@
 Method: token offsets are prefix sums over the text's pre-tokens; boundaries are a sorted
 array per kind (headings, paragraphs, lines, sentences, words).  From the start of a piece
 a binary search in the prefix sums finds the last place within the limit, another one the
-last boundary before it; the next piece steps back by the overlap, and where there is no
-boundary the cut is hard.  Only a text's own arrays are searched, never its tokens one by
+best kind of boundary in the piece's second half, or where there is none the last boundary
+past the piece before; the next piece steps back by the overlap, and where there is no
+boundary at all the cut is between words or hard.  Only a text's own arrays are searched, never its tokens one by
 one.
 
 Cuts lie between pre-tokens, so a piece's tokens are those of the text, except that white
@@ -36,7 +37,7 @@ _SENTENCE = re.compile(r"[.!?\u2026;\u061f\u06d4][\"'\u201d\u2019\u00bb)\]]*\s+|
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes in tokens: the largest piece, the overlap, and how full a piece must be before a boundary may end it."""
+    """Sizes in tokens: the largest piece, the overlap, and how full a piece must be for a better kind of boundary to go before a later one."""
 
     limit: int = 512
     overlap: int = 64
@@ -117,11 +118,10 @@ class Splitter:
                 floor_at = int(np.searchsorted(tokens, base + int(limit * self.limits.fill), "left"))
                 least = max(passed, int(char_ends[min(floor_at, len(char_ends) - 1)]))
                 cut, end = WORD, most
-                for kind, at in kinds:
-                    k = bisect_right(at, most) - 1
-                    if k >= 0 and at[k] > least:
-                        cut, end = kind, at[k]
-                        break
+                best = [(kind, at[k - 1]) for kind, at in kinds if (k := bisect_right(at, most)) and at[k - 1] > passed]
+                if best:
+                    # the best kind in a piece that is full enough, else the last boundary of any kind
+                    cut, end = next((x for x in best if x[1] > least), max(best, key=lambda x: x[1]))
             size = self._size(text, start, end, char_ends, tokens)
             if size > limit:
                 shorter = self._longest(text, start, end)
@@ -159,6 +159,8 @@ class Splitter:
         """
         at_end = int(np.searchsorted(char_ends, end, "left"))
         k = int(np.searchsorted(tokens, int(tokens[at_end]) - self.limits.overlap, "left"))
+        # a piece within the overlap is not repeated whole
+        k = max(k, int(np.searchsorted(char_ends, start, "right")))
         if start < char_ends[k] < end:
             return int(char_ends[k])
         return max(end - self._fit(end - start - 1, self.limits.overlap, lambda k: self.count(text[end - k : end])), start + 1) if end - start > 1 else end
