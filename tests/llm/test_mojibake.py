@@ -48,3 +48,29 @@ def test_table(spark):
         if r.recovered:
             assert r.restored == bad[r.text]
     assert M.garbled(spark.createDataFrame([], "table_name string, row_no long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 5, 400])
+def test_garbled_name_more_frequent_than_its_original(spark, times):
+    sound = ["Plac Dębowa", "Rondo Żurawia", "Kłęby", "Dęby", "Stare Żuki", "Tête d'Or", "Pêche", "Gödöllő"]
+    bad = {"Plac Dêbowa": "Plac Dębowa", "Rondo ¯urawia": "Rondo Żurawia"}
+    rows = [("t", i, t) for i, t in enumerate([*sound, *sound, *list(bad) * times])]
+    got = M.garbled(spark.createDataFrame(rows, "table_name string, row_no long, text string")).collect()
+    assert sorted(r.row_no for r in got) == [n for _, n, t in rows if t in bad]
+    assert all(r.recovered and r.restored == bad[r.text] for r in got)
+
+
+def test_repeated_garbled_name_against_distinct_texts(spark):
+    # no other word tells which letters join: the distinct texts do
+    sound = [f"{x} Dębowa" for x in ("Plac", "Ulica", "Rondo", "Brama")]
+    rows = [("t", i, t) for i, t in enumerate([*sound, *["Plac Dêbowa"] * 50])]
+    got = M.garbled(spark.createDataFrame(rows, "table_name string, row_no long, text string")).collect()
+    assert sorted(r.row_no for r in got) == list(range(4, 54)) and {r.restored for r in got} == {"Plac Dębowa"}
+
+
+def test_rare_joint_is_no_proof_against_a_symbol_inside(spark):
+    # the joint of the sound word stands nowhere else; the form has a quotation mark in place of its letter
+    sound = ["Rua do Balão", "Praça do Balão", "Ponte do Balão", "Largo do Balão", "Saída"] * 5
+    rows = [("t", i, t) for i, t in enumerate([*sound, "Largo do Bal„o"])]
+    got = M.garbled(spark.createDataFrame(rows, "table_name string, row_no long, text string")).collect()
+    assert [(r.row_no, r.restored) for r in got] == [(25, "Largo do Balão")]

@@ -12,8 +12,10 @@ left as it is.
 * *Words.*  Between single-byte encodings, and where bytes were lost, one character stands
   for another and only the word tells.  Each word of the sound texts is garbled through
   every pair of encodings; a word of the corpus that equals such a form is replaced where
-  the sound word is far more frequent.  Words and forms are joined by a shuffle, so the
-  vocabulary may grow with the corpus.
+  the sound word stands in far more distinct texts or rows, or where the form is no
+  plausible word and the sound word is one: its letters join as they do in words that are
+  nobody's form.  Words and forms are joined by a shuffle, so the vocabulary may grow
+  with the corpus.
 * *Signs.*  Words without a known original count as garbled where scripts are mixed inside
   a word, symbols of the usual misreadings stand between letters, or a word has nothing
   but accented letters.
@@ -149,6 +151,14 @@ def suspicious(word: str) -> bool:
     return bool(_IN_WORD.search(word) or _TAIL.search(word) or _ALONE.search(word))
 
 
+def joints(word: str) -> list[str]:
+    """The pairs of adjoining letters, one of them beyond ASCII (^ and $ are the ends); "*" for a sign of misreading or a symbol beside a letter."""
+    out = {p for run in re.findall(r"[^\W\d_]+", word.lower()) for p in map("".join, zip("^" + run, run + "$")) if not p.isascii()}
+    beside = any(unicodedata.category(a) in ("Sk", "Sm", "Sc", "So", "No") and b.isalpha() for a, b in (*zip(word, word[1:]), *zip(word[1:], word)))
+    inside = any(not b.isascii() and unicodedata.category(b)[0] in "PSCZ" and b not in "\u00b7\u2019\u2010\u2011\u2013\u2014\u2026" and a.isalpha() and c.isalpha() for a, b, c in zip(word, word[1:], word[2:]))
+    return sorted(out) + ["*"] * (beside or inside or suspicious(word))
+
+
 def garbled_forms(word: str) -> set[str]:
     """What the word looks like after one misreading, through every pair of encodings, with lost bytes left out."""
     out: set[str] = set()
@@ -193,15 +203,15 @@ def _scan(texts: DataFrame) -> DataFrame:
 
 
 def _forms(vocabulary: DataFrame) -> DataFrame:
-    """word, support -> garbled, word, support."""
-    out = pa.schema([("garbled", pa.string()), ("word", pa.string()), ("support", pa.int64())])
+    """word, support, support_texts -> garbled, word, support, support_texts."""
+    out = pa.schema([("garbled", pa.string()), ("word", pa.string()), ("support", pa.int64()), ("support_texts", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {(g, v, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for v in {w, w.upper()} for g in garbled_forms(v)}
+            rows = {(g, v, n, k) for w, n, k in zip(*(c.to_pylist() for c in b.columns)) for v in {w, w.upper()} for g in garbled_forms(v)}
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out) if rows else pa.RecordBatch.from_pylist([], schema=out)
 
-    return vocabulary.select("word", F.col("support").cast("long")).mapInArrow(run, "garbled string, word string, support long")
+    return vocabulary.select("word", F.col("support").cast("long"), F.col("support_texts").cast("long")).mapInArrow(run, "garbled string, word string, support long, support_texts long")
 
 
 def _signs(words: DataFrame) -> DataFrame:
@@ -210,25 +220,48 @@ def _signs(words: DataFrame) -> DataFrame:
     return words.withColumn("odd", odd("word"))
 
 
+def _plausible(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """word, plausible of the words and originals of the pairs: whether they have joints and all of them stand in sound words outside the pairs."""
+    joined = F.pandas_udf(lambda s: s.map(joints), "array<string>")
+    evidence = F.pandas_udf(lambda s: s.map(lambda w: [] if "*" in (j := joints(w)) else j), "array<string>")
+    sides = pairs.select("word").union(pairs.select("original")).distinct()
+    alone = known.where("sound > 0").join(sides, "word", "left_anti")
+    held = alone.select(F.explode(evidence("word")).alias("joint")).distinct().withColumn("held", F.lit(True))
+    each = sides.withColumn("joints", joined("word")).select("word", F.explode_outer("joints").alias("joint")).join(held, "joint", "left")
+    return each.groupBy("word").agg(F.bool_and(F.col("held").isNotNull()).alias("plausible"))
+
+
 def mend_texts(texts: DataFrame, ratio: float = 4.0) -> DataFrame:
     """text, restored, recovered of the garbled ones among the rows (text, n): n counts the text's occurrences.
 
     ``restored`` has the matched spans and words replaced; ``recovered`` is false where
     characters were lost or the original is not known.  ``ratio`` is how much more
-    frequent, case aside, a sound word must be than a form that it may replace.
+    frequent, case aside, a sound word must be than a form that it may replace, in
+    distinct texts, or in rows where texts do not say the opposite.  Where one of the two
+    alone is a plausible word that decides, whatever the counts.
     """
     scanned = written(_scan(texts))
     fold = F.lower("word")
     uses = scanned.select("n", "hit", "lost", F.explode(F.array_distinct("words")).alias("word"))
-    each = uses.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("hit") & ~F.col("lost"), F.col("n")).otherwise(0)).alias("sound"))
-    support = each.groupBy(fold.alias("fold")).agg(F.sum("sound").alias("support"), F.sum("n").alias("uses"))
+    sound = ~F.col("hit") & ~F.col("lost")
+    each = uses.groupBy("word").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("texts"),
+        F.sum(F.when(sound, F.col("n")).otherwise(0)).alias("sound"),
+        F.count_if(sound).alias("sound_texts"),
+    )
+    support = each.groupBy(fold.alias("fold")).agg(F.sum("sound").alias("support"), F.sum("n").alias("uses"), F.sum("sound_texts").alias("support_texts"), F.sum("texts").alias("uses_texts"))
     known = written(each.withColumn("fold", fold).join(support, "fold"))
-    forms = _forms(known.where("support > 0").select("word", "support"))
+    forms = _forms(known.where("support > 0").select("word", "support", "support_texts")).select("garbled", F.col("word").alias("original"), F.col("support").alias("strength"), F.col("support_texts").alias("strength_texts"))
+    pairs = written(known.join(forms, F.col("word") == F.col("garbled")).select("word", "uses", "uses_texts", "original", "strength", "strength_texts"))
+    plausible = written(_plausible(known, pairs))
+    judged = pairs.join(plausible, "word").join(plausible.select(F.col("word").alias("original"), F.col("plausible").alias("original_plausible")), "original")
+    better, worse = ~F.col("plausible") & F.col("original_plausible"), F.col("plausible") & ~F.col("original_plausible")
+    by_texts, against = F.col("strength_texts") >= F.col("uses_texts") * ratio, F.col("uses_texts") >= F.col("strength_texts") * ratio
     best = (
-        known.join(forms.withColumnRenamed("word", "original").withColumnRenamed("support", "strength"), F.col("word") == F.col("garbled"))
-        .where(F.col("strength") >= F.col("uses") * ratio)
+        judged.where(better | ~worse & (by_texts | (F.col("strength") >= F.col("uses") * ratio) & ~against))
         .groupBy("word")
-        .agg(F.max(F.struct("strength", "original"))["original"].alias("original"))
+        .agg(F.max(F.struct(better.alias("better"), "strength", "original"))["original"].alias("original"))
     )
     marked = written(_signs(known.select("word", "uses")).join(best, "word", "left").where("original is not null or odd").select("word", "original"))
     words = (
