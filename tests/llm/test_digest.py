@@ -99,3 +99,10 @@ def test_large_groups_are_cut(spark):
 
 def test_empty(spark):
     assert D.stop_percentiles(spark.createDataFrame([], ST)).count() == 0
+
+
+def test_rows_without_a_day_count_over_all_days(spark):
+    day = dt.date(2025, 3, 1)
+    data = [(i, "t", stop, "8:00:00", f"8:00:{i:02d}", d, "") for i, (stop, d) in enumerate([("a", day)] * 5 + [("a", None)] * 20 + [("b", None)] * 4)]
+    got = {(r.stop_id, r.service_date): (r.n, r.p50, r.rank_error) for r in D.stop_percentiles(spark.createDataFrame(data, ST)).where("metric = 'dwell'").collect()}
+    assert got == {("a", day): (5, 2.0, 0.0), ("a", None): (25, 12.0, 0.0), ("b", None): (4, 26.0, 0.0)}

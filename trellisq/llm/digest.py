@@ -268,7 +268,7 @@ def stop_values(stop_times: DataFrame) -> DataFrame:
         F.col("row_no").cast("long").alias("row_no"),
         near_diff(arrival, departure).cast("int").alias("dwell"),
         F.pmod(arrival, F.lit(86400)).cast("int").alias("time_of_day"),
-    ).where("stop_id is not null and service_date is not null")
+    ).where("stop_id is not null")
 
 
 def _result(d: DataFrame, day: Column) -> DataFrame:
@@ -300,10 +300,12 @@ def stop_percentiles(stop_times: DataFrame) -> DataFrame:
 
     Dwell and time of day in seconds, per stop and day and per stop over all days, the
     latter merged from the days' digests.  A percentile is the value at rank ceil(q*n).
-    Null times are no values, a group without values gives no row; repeated rows count
+    Rows without a service_date count over all days only: they are in digests of their
+    own, which are merged but not listed as a day.  Null times are no values, a group without values gives no row; repeated rows count
     each; an empty table gives no rows.
     """
     values = stop_values(stop_times)
-    days = daily_digests(values)
-    whole = certify(values, written(merge(days, ["stop_id"], list(METRICS))), ["stop_id"], list(METRICS))
+    days = daily_digests(values.where("service_date is not null"))
+    undated = daily_digests(values.where("service_date is null").withColumn("service_date", F.lit("1970-01-01").cast("date")))
+    whole = certify(values, written(merge(days.unionByName(undated), ["stop_id"], list(METRICS))), ["stop_id"], list(METRICS))
     return _result(days, F.col("service_date")).unionByName(_result(whole, F.lit(None).cast("date")))
