@@ -77,10 +77,51 @@ def test_valid_means_every_quote_is_in_place(line):
 
 def test_assemble_joins_open_quotes():
     assert list(assemble(["a,1", 'b,"x', 'y",2', "c"])) == ["a,1", 'b,"x\ny",2', "c"]
-    assert list(assemble(['a,"x', "y"])) == ['a,"x\ny']
     assert list(assemble([])) == []
 
 
+def test_an_open_quote_costs_one_line():
+    assert list(assemble(['a,"x', "y"])) == ['a,"x', "y"]
+    assert list(assemble(['a,"x', "b,1", 'c,"d"', 'e,"f', 'g"'])) == ['a,"x', "b,1", 'c,"d"', 'e,"f\ng"']
+    # closed at a field's end, but with too many fields for the file
+    assert list(assemble(['a,"x', "b,1", 'y",2,3'], 3)) == ['a,"x', "b,1", 'y",2,3']
+    assert list(assemble(['a,"x', "b,1", 'y",2'], 3)) == ['a,"x\nb,1\ny",2']
+    lines = ['t,0,s,"x,y'] + [f"t,{i},s,x,y" for i in range(4000)]
+    assert list(assemble(lines, 5)) == lines
+    assert sum(parse_line("stop_times.txt", r)[0] is None for r in assemble(lines, 5)) == 4000
+
+
+def test_assembly_is_linear():
+    import time
+
+    def took(n):
+        lines = ['a,"x'] + ['say ""this"" and ""that""'] * n + ['y",2'] + ['b,"z'] * n
+        began = time.perf_counter()
+        assert "\n".join(assemble(lines)) == "\n".join(lines)
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(16000) < 40 * took(2000) + 0.2
+
+
+@given(st.lists(st.text(alphabet='a,"1', max_size=6), max_size=12))
+def test_no_line_is_lost(lines):
+    assert "\n".join(assemble(lines, 3)) == "\n".join(lines)
+
+
+@given(st.lists(st.lists(st.text(alphabet='a,"\n1', max_size=5), min_size=3, max_size=3), max_size=6))
+def test_sound_records_are_assembled_as_written(rows):
+    records = [",".join('"' + f.replace('"', '""') + '"' for f in r) for r in rows]
+    assert list(assemble("\n".join(records).split("\n") if records else [], 3)) == records
+
+
+def test_reasons_come_from_the_strict_reader():
+    for line in ('a,"x', 'a,"x"y', "a\nb"):
+        with pytest.raises(csv.Error):
+            list(csv.reader([line], strict=True))
+        assert reason(line) in ("unclosed_quote", "text_after_quote", "bare_line_break")
+
+
 def test_tables(spark):
     rows = [(1, "stop_times.txt", None, "t,5,s,x,y"), (2, "stop_times.txt", None, "t,z,s,x,y"), (3, "pathways.txt", None, "p,a,b,1,0,30,w"), (4, None, None, "q"), (5, "stop_times.txt", None, None)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], ROW + ", reason string")
@@ -91,11 +132,11 @@ def test_tables(spark):
 
 
 def test_delivered_files(spark, tmp_path):
-    (tmp_path / "stop_times.txt").write_bytes('\ufefft,1,"a\nb",x,y\r\nt,2,s,"x,y\nt,3,s,"x,y\n'.encode())
+    (tmp_path / "stop_times.txt").write_bytes('\ufefft,1,"a\nb",x,y\r\nt,2,s,"x,y\nt,3,s,x,y\n'.encode())
     (tmp_path / "pathways.txt").write_bytes(b"p,a,b,1,0,60,w\n")
     (tmp_path / "other.csv").write_bytes(b"ignored")
     df = read_deliveries(spark, str(tmp_path))
-    assert sorted((r.feed_name, r.raw_line) for r in df.collect()) == [("pathways.txt", "p,a,b,1,0,60,w"), ("stop_times.txt", 't,1,"a\nb",x,y\r'), ("stop_times.txt", 't,2,s,"x,y\nt,3,s,"x,y')]
-    assert [r.stop_id for r in load_feed(df, "stop_times.txt").collect()] == ["a\nb"]
-    assert [r.reason for r in rejected(df).collect()] == ["text_after_quote"]
-    assert df.select("line_id").distinct().count() == 3
+    assert sorted((r.feed_name, r.raw_line) for r in df.collect()) == [("pathways.txt", "p,a,b,1,0,60,w"), ("stop_times.txt", 't,1,"a\nb",x,y\r'), ("stop_times.txt", 't,2,s,"x,y'), ("stop_times.txt", "t,3,s,x,y")]
+    assert sorted(r.stop_id for r in load_feed(df, "stop_times.txt").collect()) == ["a\nb", "s"]
+    assert [(r.raw_line, r.reason) for r in rejected(df).collect()] == [('t,2,s,"x,y', "unclosed_quote")]
+    assert df.select("line_id").distinct().count() == 4

@@ -69,15 +69,43 @@ valid AS (
   FROM raw_feed)"""
 
 
+# fields as the strict reader takes them: a quote inside an unquoted field is text there
+_LOOSE = r'(?:"(?:[^"]|"")*"|[^",\r\n][^,\r\n]*|)'
+_COUNTED = lambda n: rf"(?:{_FIELD},){{{n}}}{_FIELD}"
+
+
+def _why(width: int, number: int, required: bool) -> str:
+    """SQL for the reason of an invalid record x of one feed."""
+    text = f"trim({_get(number).replace('raw_line', 'x')}, chr(32) || chr(9))"
+    return rf"""CASE
+      WHEN regexp_full_match(x, '(?:{_LOOSE},)*"(?:[^"]|"")*') THEN 'unclosed_quote'
+      WHEN regexp_matches(x, '^(?:{_LOOSE},)*"(?:[^"]|"")*"[^",
+]') THEN 'text_after_quote'
+      WHEN regexp_matches(x, '^(?:{_LOOSE},)*{_LOOSE}[
+]+') THEN 'bare_line_break'
+      WHEN NOT regexp_full_match(x, '(?:{_FIELD},)*{_FIELD}') THEN 'stray_quote'
+      WHEN NOT regexp_full_match(x, '{_COUNTED(width - 1)}') THEN CASE WHEN regexp_full_match(x, '{_COUNTED(width)}(?:,{_FIELD})*') THEN 'too_many_fields' ELSE 'too_few_fields' END
+      WHEN {text} = '' THEN {"'empty_number'" if required else "NULL"}
+      WHEN NOT regexp_full_match({text}, '[0-9]+') THEN 'not_a_number'
+      ELSE 'number_too_large' END"""
+
+
+def _reasons() -> str:
+    rows = [(feed, _why(len(f.columns), f.columns.index(f.number), f.required)) for feed, f in FEEDS.items()]
+    cases = " ".join(f"WHEN feed_name = '{feed}' THEN {why}" for feed, why in rows)
+    return f"""WITH {_VALID}, bad AS (SELECT feed_name, regexp_replace(raw_line, '\r$', '') AS x FROM valid WHERE NOT coalesce(ok, false))
+SELECT feed_name, reason, count(*) AS n FROM (SELECT feed_name, CASE WHEN feed_name IS NULL OR feed_name NOT IN ({', '.join(f"'{f}'" for f in FEEDS)}) THEN 'unknown_feed' WHEN x IS NULL THEN 'null_line' {cases} END AS reason FROM bad) GROUP BY ALL"""
+
+
 def _loaded(feed: str) -> str:
     cols = FEEDS[feed].columns
     number = FEEDS[feed].number
     return f"WITH {_VALID} SELECT line_id, feed_date, " + ", ".join(f"CAST({_num(i)} AS INTEGER) AS {c}" if c == number else f"{_get(i)} AS {c}" for i, c in enumerate(cols)) + f" FROM valid WHERE coalesce(ok, false) AND feed_name = '{feed}'"
 
 
-_SECONDS = lambda c: f"""(CASE WHEN regexp_full_match(trim({c}), '-?[0-9]{{1,5}}:[0-9]{{2}}:[0-9]{{2}}') THEN
-  (CASE WHEN trim({c}) LIKE '-%' THEN -1 ELSE 1 END) * (CAST(split_part(ltrim(trim({c}), '-'), ':', 1) AS INT) * 3600
-   + CAST(split_part(trim({c}), ':', 2) AS INT) * 60 + CAST(split_part(trim({c}), ':', 3) AS INT)) END)"""
+_SECONDS = lambda c: f"""(CASE WHEN regexp_full_match(trim({c}), '-?[0-9]+:[0-9]{{2}}:[0-9]{{2}}') THEN
+  (CASE WHEN trim({c}) LIKE '-%' THEN -1 ELSE 1 END) * TRY_CAST(TRY_CAST(split_part(ltrim(trim({c}), '-'), ':', 1) AS BIGINT)::HUGEINT * 3600
+   + CAST(split_part(trim({c}), ':', 2) AS INT) * 60 + CAST(split_part(trim({c}), ':', 3) AS INT) AS INT) END)"""
 _NEAR = lambda a, b: f"((({b}) - ({a}) + 43200) % 86400 + 86400) % 86400 - 43200"
 
 _P3 = f"""
@@ -127,6 +155,7 @@ ORACLE = {
     "p1_found": f"WITH {_VALID} SELECT line_id FROM valid WHERE NOT coalesce(ok, false)",
     "p1_stop_times": _loaded("stop_times.txt"),
     "p1_pathways": _loaded("pathways.txt"),
+    "p1_reasons": _reasons(),
     "p3_found": _P3,
     "p5_found": " UNION ALL ".join(_orphan_sql(r, "c.row_no") for r in TIMETABLE),
     "p5_counts": "SELECT table_name, field_name, period, count(*) AS n, "

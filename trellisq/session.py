@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables written by this process that were not removed yet.
+_PATHS: list[str] = []
+
 
 def local_session(cores: int = 8, app: str = "trellisq") -> SparkSession:
     """A local session with the settings the engine is tested under."""
@@ -24,30 +27,59 @@ def local_session(cores: int = 8, app: str = "trellisq") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local session (one JVM) gets a temporary folder; on a cluster it
+    is an error, as executors would write to their own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="trellisq-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing the rows as a table in the shared folder and reading it again.
 
-    The table outlives lost executors; like checkpoint files it stays until the folder is
-    cleaned.
+    The table outlives lost executors.  It is removed by :func:`discard`, by
+    :func:`release` once a query's rows are taken, or else when the application ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/trellisq-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/trellisq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+    _PATHS.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`written` that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_written_at", None)
+    path = getattr(df, "_written_at", None)
     if path:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables of :func:`written`: for callers that have taken the rows of their queries."""
+    for path in list(_PATHS):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, where = _place(spark, path)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
+    if path in _PATHS:
+        _PATHS.remove(path)

@@ -9,10 +9,12 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellisq.session import written
+
 DELIMITERS = (",", ";", "\t")
 
 #: Columns of the timetable tables; everything is read as text, then cast where the type is not text.
@@ -102,8 +104,8 @@ def scan(spark: SparkSession, path: str, name: str | None = None, null_value: st
     return number_rows(out)
 
 
-def number_rows(df: DataFrame, at: str = "_at") -> DataFrame:
-    """row_no from 1 in the order of ``at`` (ascending within and over partitions), without one global sort.
+def number_rows(df: DataFrame, at: str = "_at", name: str = "row_no") -> DataFrame:
+    """``name`` from 1 in the order of ``at`` (ascending within and over partitions), without one global sort.
 
     Rows of each partition are counted, the counts become offsets, and each partition is
     numbered by itself.
@@ -112,7 +114,17 @@ def number_rows(df: DataFrame, at: str = "_at") -> DataFrame:
     tagged = df.withColumn("_part", part).withColumn("_in", F.col(at).bitwiseAND((1 << 33) - 1))
     sizes = tagged.groupBy("_part").agg((F.max("_in") + 1).alias("_size"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return tagged.join(F.broadcast(offsets), "_part").withColumn("row_no", F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before", at)
+    return tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before", at)
+
+
+def ranked_rows(df: DataFrame, order: Sequence[Column | str], name: str, first: int = 1) -> DataFrame:
+    """the rows with their place in ``order`` (no ties), from ``first``, as INT column ``name``.
+
+    The rows are sorted by range partitions and written with their place within their
+    partition; the sizes of the partitions become offsets.  No task meets all rows.
+    """
+    placed = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return number_rows(placed, name="row_no_").withColumn(name, (F.col("row_no_") - 1 + first).cast("int")).drop("row_no_")
 
 
 def scan_any_encoding(spark: SparkSession, path: str) -> DataFrame:
@@ -173,6 +185,7 @@ def transfer_weights(transfers: DataFrame) -> DataFrame:
     return transfers.where("from_stop_id <> '' and to_stop_id <> '' and min_transfer_time is not null").select("from_stop_id", "to_stop_id", "min_transfer_time")
 
 
+# Fixed value: the form of pathway ids.
 PATHWAY_ID = r"^PW\.([^_]+)_([^\s]+)$"
 
 
@@ -213,11 +226,15 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def numbered_parts(df: DataFrame, rows_per_file: int = 799_999) -> DataFrame:
+# Fixed value: data rows of one spreadsheet file.
+ROWS_PER_FILE = 799_999
+
+
+def numbered_parts(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Adds ``part`` (from 1): which spreadsheet file a row belongs to, by row_no."""
     return df.withColumn("part", (F.floor((F.col("row_no") - 1) / rows_per_file) + 1).cast("int"))
 
 
-def write_parts(df: DataFrame, path: str, rows_per_file: int = 799_999) -> None:
+def write_parts(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """One folder of delimited text per spreadsheet part."""
     numbered_parts(df, rows_per_file).repartition("part").sortWithinPartitions("row_no").write.mode("overwrite").partitionBy("part").option("header", True).csv(path)
