@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY = 86400
+# Fixed value: the radius of the earth in metres.
 EARTH_RADIUS_M = 6_371_000.0
 
 
@@ -15,12 +16,12 @@ def int_div(a: Column, b: Column | int) -> Column:
 
 
 def parse_time(c: str | Column) -> Column:
-    """``[-]H+:MM:SS`` to INT seconds; null for anything else (hours may exceed 23)."""
+    """``[-]H+:MM:SS`` to INT seconds; null for anything else and for more seconds than an INT holds (hours may exceed 23)."""
     t = F.trim(c)
     part = lambda start: F.substring(t, start, 2).try_cast("int")
-    hours = F.abs(F.substring_index(t, ":", 1).try_cast("int"))
-    sec = hours * 3600 + part(-5) * 60 + part(-2)
-    return F.when(t.rlike("^-?[0-9]{1,5}:[0-9]{2}:[0-9]{2}$"), F.when(t.startswith("-"), -sec).otherwise(sec))
+    hours = F.abs(F.substring_index(t, ":", 1).try_cast("bigint"))
+    sec = F.try_add(F.try_multiply(hours, F.lit(3600)), part(-5) * 60 + part(-2)).try_cast("int")
+    return F.when(t.rlike("^-?[0-9]+:[0-9]{2}:[0-9]{2}$"), F.when(t.startswith("-"), -sec).otherwise(sec))
 
 
 def format_time(c: str | Column) -> Column:

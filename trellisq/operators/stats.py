@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import sample_stdev
 from trellisq.operators.timetable import PAIR
+from trellisq.sources.gtfs import ranked_rows
 
 # Upper bounds (exclusive) and labels.
 CV_BUCKETS = ((0.05, "extremely stable"), (0.10, "stable"), (0.15, "acceptable"), (None, "unstable"))
@@ -41,12 +42,8 @@ def cv_ranking(stats: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, metric: str) -> DataFrame:
-    """Rank from 1 by falling metric, then line, direction, a, b.
-
-    One row per edge of the graph; where a single sort of all edges is too large, order
-    the result with ``orderBy`` and leave the numbers out.
-    """
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(metric).desc(), *PAIR)))
+    """Rank from 1 by falling metric, then line, direction, a, b."""
+    return ranked_rows(df, [F.col(metric).desc(), *PAIR], "rank")
 
 
 def top(df: DataFrame, metric: str, k: int) -> DataFrame:

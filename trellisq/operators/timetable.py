@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import dotted_key, hour_bucket, parse_time, wrapped_diff
 from trellisq.operators.references import bare
-from trellisq.sources.gtfs import last_rows
+from trellisq.sources.gtfs import last_rows, ranked_rows
 
 PAIR = ["line", "direction", "a", "b"]
 
@@ -65,8 +65,7 @@ def route_stops(events: DataFrame, groups: DataFrame) -> DataFrame:
 def line_order(lines: DataFrame) -> DataFrame:
     """F8: line, line_ord from 0 in natural dotted order (then by text)."""
     held = lines.select("line").distinct()
-    a, b, c = dotted_key("line")
-    return held.select("line", (F.row_number().over(Window.orderBy(a, b, c, "line")) - 1).alias("line_ord"))
+    return ranked_rows(held, [*dotted_key("line"), "line"], "line_ord", 0)
 
 
 def forward_pairs(stops: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def expected_pairs(stops: DataFrame) -> DataFrame:
 def stop_rank(stops: DataFrame, order: DataFrame) -> DataFrame:
     """stop_id, rank from 0: the order in which the lines first name the stops."""
     first = stops.join(order, "line").groupBy("stop_id").agg(F.min(F.struct("line_ord", "pos")).alias("at"))
-    return first.select("stop_id", (F.row_number().over(Window.orderBy("at", "stop_id")) - 1).alias("rank"))
+    return ranked_rows(first, ["at", "stop_id"], "rank", 0).drop("at")
 
 
 def consecutive(events: DataFrame) -> DataFrame:
