@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from trellisq.operators.spikes import spikes, stop_time_readings
+from trellisq.operators.spikes import ALPHA, MAX_SHARE, NORMAL_SPAN, Cells, anomalies, decompose, esd_limit, esd_steps, outliers, spikes, stop_time_readings
 
 ST = "row_no long, trip_id string, stop_sequence int, stop_id string, arrival_time string, departure_time string, service_date date, code string"
 PW = "row_no long, pathway_id string, traversal_time int, published_on date"
@@ -119,10 +119,89 @@ def test_long_trip_over_blocks(spark):
     st = [(i, "t", i, "s", x, x) for i in range(4090, 4100)] + [(9000 + i, "u", i, "s", clock(100 * i), clock(100 * i + 10)) for i in range(4090, 4100)]
     got = run(spark, st, [])
     assert got == {("stop_times", i) for i in range(4090, 4100)}
-    whole = stop_time_readings(spark.createDataFrame([(*r, None, "c") for r in st], ST), block=4096).where("kind = 'run'").count()
+    whole = stop_time_readings(spark.createDataFrame([(*r, None, "c") for r in st], ST), block=4096).where("source like 'r%'").count()
     assert whole == 18
 
 
 def test_empty_and_null(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [(1, None, None, None, None, None)], [(1, None, None, None)]) == set()
+
+
+def esd_brute(values, span):
+    """The sequential test reading by reading: {value: whether it is an outlier} (equal readings together)."""
+    left, gone, decided = sorted(values), [], 0
+    most = int(np.floor(len(values) * MAX_SHARE)) + 1
+    while left and len(gone) < most:
+        q10, med, q90 = np.percentile(left, [10, 50, 90])
+        scale = min((q90 - q10) / NORMAL_SPAN, span / NORMAL_SPAN)
+        v = left[-1] if left[-1] - med >= med - left[0] else left[0]
+        if abs(v - med) == 0:
+            break
+        if abs(v - med) > esd_limit(np.array(len(values)), len(gone) + 1, ALPHA) * scale:
+            decided = len(gone) + 1
+        gone += [(v, len(gone) + 1)] * left.count(v)
+        left = [x for x in left if x != v]
+    return {v: step <= decided for v, step in gone}
+
+
+def test_sequential_test_against_brute_force():
+    rng = np.random.default_rng(4)
+    sources = [np.round(np.concatenate([rng.normal(0, s, n), rng.normal(0, 40 * s, n // 20 + 1)])) for s, n in ((5, 15), (3, 400), (1, 90), (30, 2000), (0.2, 50))]
+    g = np.concatenate([np.full(len(x), k) for k, x in enumerate(sources)])
+    span = np.array([np.subtract(*np.percentile(x, [90, 10])) for x in sources])
+    flagged, step, bound = esd_steps(g, np.concatenate(sources), np.ones(len(g), np.int64), span)
+    for k, x in enumerate(sources):
+        want = esd_brute(x.tolist(), span[k])
+        assert {v for v, yes in want.items() if yes} == set(x[flagged[g == k]])
+        assert (step[g == k][flagged[g == k]] > 0).all() and (bound[g == k] >= 0).all()
+
+
+def test_equal_readings_counted_or_listed():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(100, 4, 500)).astype(np.int64)
+    x[:6] = 400
+    month, pos = rng.integers(1, 7, 500), rng.integers(1, 5, 500)
+    zero = np.zeros(500, np.int64)
+    listed = outliers(Cells(zero, x, month, pos, zero + 1), None)
+    cells, at, n = np.unique(np.stack([x, month, pos]), axis=1, return_index=True, return_counts=True)
+    counted = outliers(Cells(zero[: len(n)], *cells, n), None)
+    assert set(x[listed["index"]]) == set(cells[0][counted["index"]]) == {400}
+    assert counted["uses"].max() == 6 and listed["total"].max() == 500
+
+
+def test_trend_and_season_are_found():
+    rng = np.random.default_rng(6)
+    n = 6000
+    month, pos = rng.integers(1, 13, n), rng.integers(1, 5, n)
+    true = 100 + 5 * month + np.array([0, -30, 30, 0, 0])[pos]
+    value = np.round(true + rng.normal(0, 3, n)).astype(np.int64)
+    spike = rng.choice(n, 40, replace=False)
+    value[spike] += rng.choice([-45, 45], 40)
+    zero = np.zeros(n, np.int64)
+    cells = Cells(zero, value, month, pos, zero + 1)
+    level, span = np.array([np.median(value)]), np.array([np.subtract(*np.percentile(value, [90, 10]))])
+    residual = decompose(cells, level, span)
+    clean = np.delete(residual, spike)
+    assert np.abs(clean).mean() < 4 and abs(residual[spike]).min() > 25
+    got = set(outliers(cells, None)["index"].tolist())
+    assert set(spike.tolist()) <= got and len(got) < 60
+    # without the decomposition the spikes lie within the spread of months and hours
+    assert len(set(spike.tolist()) & set(np.flatnonzero(esd_steps(zero, value - level[0], zero + 1, span)[0]).tolist())) < 20
+
+
+def test_anomalies_table(spark):
+    st, pw = data(3)
+    got = anomalies(spark.createDataFrame([(*r, dt.date(2025, 1 + r[0] % 6, 3), "clash") for r in st], ST), spark.createDataFrame(pw, PW)).collect()
+    assert {r.reading for r in got} == {"dwell", "run", "traversal_time"} and all(abs(r.residual) > 0 and r.step > 0 for r in got)
+    assert len({(r.table_name, r.row_no, r.reading) for r in got}) == len(got)
+    assert anomalies(spark.createDataFrame([], ST), spark.createDataFrame([], PW)).count() == 0
+
+
+def test_a_hot_value_is_joined_in_parts(spark, monkeypatch):
+    from trellisq.operators import skew
+
+    st, pw = data(7)
+    want = brute(st, pw)
+    monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", 1))
+    assert run(spark, st, pw) == want

@@ -1,63 +1,232 @@
 """Problem 3: implausible spikes, stuck values and impossible readings, per source.
 
-Method: robust seasonal-trend decomposition of each source's readings (medians for the
-level, for the trend by period and for the season by position in the cycle), residuals
-held against generalised extreme studentised deviate limits in their robust form, and
-separate range and constant-run checks.
-
-Everything per source is computed from counted values (source, period, position, value,
-n), never from gathered readings, so a source that holds a third of all rows is as many
-rows as it has different values.  The season and the trend are kept within ``SWAY``
-spans of the level, so that a thinly filled position cannot explain its own spike away:
-a reading more than three 10-90 % spans from the level always keeps a residual of at
-least 3 - 2*SWAY spans, which lies beyond the limit for up to 10^10 readings.
-
-The exact rule of the data's owners (distance from the source's median against the
-10-90 % span and a floor) is then applied to the candidates.
+Method: robust seasonal-trend decomposition of each source's readings, residuals held
+against the limits of the generalised extreme studentised deviate test, and separate
+range and constant-run checks.
+
+* *Decomposition.*  The level is the source's median.  The trend (by month, smoothed over
+  its neighbours) and the season (by quarter of the day) are medians of what the other one
+  leaves, in turn; a second outer round takes them again with bisquare weights of the
+  residuals, so that spikes have no say.
+* *Test.*  The reading farthest from the median of those that are left is taken away, again
+  and again, up to a fifth of the readings; each time its distance, in robust deviations
+  (10-90 % span) of those left, is held against the limit of that step.  All readings up
+  to the last step beyond its limit are outliers.  Readings with the same residual (in
+  whole seconds, the data's grain) are taken away together.
+* *Use.*  :func:`anomalies` reports the outliers of the unbounded decomposition with
+  residual, limit and step.  :func:`spikes` applies the exact rule of the data's owners
+  (distance from the source's median against the 10-90 % span and a floor) to the outliers
+  of a decomposition whose trend and season may move by SWAY spans at most, so that what is
+  far from the level of its source cannot be explained away by a month or a time of day.
+
+Everything per source is computed from counted cells (source, value, month, position, n),
+never from gathered readings: dwell and run lie within a day, and a pathway has one reading
+an edition, so the cells of a source are bounded, whatever share of the rows it holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import int_div, near_diff, parse_time
+from trellisq.operators.groups import whole_groups
 from trellisq.operators.references import bare
+from trellisq.operators.skew import spread_join
 from trellisq.session import written
 
-SWAY = 0.15
+SWAY = 0.1
 NORMAL_SPAN = 2.5631031310892007  # 10-90 % span of the unit normal distribution
 ALPHA = 0.05
-MAX_SHARE = 0.05
-#: A residual beyond the smallest limit (2.40 deviations, of 12 readings) lies at least so many spans from the level.
-LEAST_FAR = 0.6
-SOURCE = ["kind", "s1", "s2"]
-#: Steps of the trend over the period of the data, and positions in the daily cycle.
-TREND_PARTS, POSITIONS = 4, 4
+MAX_SHARE = 0.2
+LEAST = 12
+#: Cells that are handled in arrays at a time (a source is never cut by it).
+BATCH = 1_000_000
+#: First letters of a source: its kind of reading.
+KINDS = {"d": "dwell", "r": "run", "t": "traversal_time"}
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x evaluated once, where a plain nesting would repeat its expression."""
-    return F.transform(F.array(x), f)[0]
-
-
-def normal_upper(p: Column) -> Column:
+def normal_upper(p: np.ndarray) -> np.ndarray:
     """Upper quantile of the unit normal for tail probability p <= 0.5 (error under 4.5e-4)."""
-    return _let(F.sqrt(F.log(p) * -2), lambda t: t - (t * (t * 0.010328 + 0.802853) + 2.515517) / (t * (t * (t * 0.001308 + 0.189269) + 1.432788) + 1))
+    t = np.sqrt(-2 * np.log(p))
+    return t - (t * (t * 0.010328 + 0.802853) + 2.515517) / (t * (t * (t * 0.001308 + 0.189269) + 1.432788) + 1)
 
 
-def esd_limit(n: Column, i: Column, alpha: float = ALPHA) -> Column:
+def esd_limit(n: np.ndarray, i: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     """Critical value of the i-th step of the generalised ESD test on n readings.
 
     Student's quantile is expanded around the normal one (Cornish-Fisher, two terms).
     """
-    student = lambda z, v: z + (z * z * z + z) / (v * 4) + (z * z * z * z * z * 5 + z * z * z * 16 + z * 3) / (v * v * 96)
-    limit = lambda left, t: t * (left - 1) / F.sqrt((left - 2 + t * t) * left)
-    of = lambda left: _let(_let(normal_upper(F.lit(alpha / 2) / left), lambda z: student(z, left - 2)), lambda t: limit(left, t))
-    return _let(F.greatest(n.cast("double") - i + 1, F.lit(4.0)), of)
+    left = np.maximum(np.asarray(n, np.float64) - i + 1, 4.0)
+    z, v = normal_upper(alpha / 2 / left), left - 2
+    t = z + (z**3 + z) / (v * 4) + (5 * z**5 + 16 * z**3 + 3 * z) / (v * v * 96)
+    return t * (left - 1) / np.sqrt((left - 2 + t * t) * left)
+
+
+@dataclass
+class Cells:
+    """Counted readings of consecutive sources: source number (ascending), value, month, position, count."""
+
+    source: np.ndarray
+    value: np.ndarray
+    month: np.ndarray
+    position: np.ndarray
+    n: np.ndarray
+
+    def where(self, keep: np.ndarray) -> Cells:
+        """The cells of a mask."""
+        return Cells(self.source[keep], self.value[keep], self.month[keep], self.position[keep], self.n[keep])
+
+
+class Ranks:
+    """Order statistics of counted values within groups: values sorted within ascending groups."""
+
+    def __init__(self, group: np.ndarray, value: np.ndarray, n: np.ndarray, groups: int) -> None:
+        order = np.lexsort((value, group))
+        self.value = value[order]
+        self.end = np.cumsum(n[order])
+        self.total = np.bincount(group, n, groups).astype(np.int64)
+        self.base = np.cumsum(self.total) - self.total
+
+    def quantile(self, q: float, which: np.ndarray) -> np.ndarray:
+        """The q-quantile, interpolated between ranks, of the groups ``which`` (not empty)."""
+        return quantile_between(self.value, self.end, self.base[which], self.total[which], q)
+
+
+def quantile_between(value: np.ndarray, end: np.ndarray, base: np.ndarray, total: np.ndarray, q: float) -> np.ndarray:
+    """The q-quantile of the ``total`` counted values after the first ``base`` ones."""
+    at = (total - 1) * q
+    low = np.floor(at).astype(np.int64)
+    a = value[np.searchsorted(end, base + low, "right")]
+    b = value[np.searchsorted(end, base + np.minimum(low + 1, total - 1), "right")]
+    return a + (b - a) * (at - low)
+
+
+def weighted_median(group: np.ndarray, value: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
+    """The weighted median of each group, 0 for groups without weight."""
+    order = np.lexsort((value, group))
+    run = np.cumsum(weight[order])
+    total = np.bincount(group, weight, groups)
+    base = np.cumsum(total) - total
+    at = np.minimum(np.searchsorted(run, base + total / 2), len(run) - 1)
+    return np.where(total > 0, value[order][at], 0.0)
+
+
+def decompose(cells: Cells, level: np.ndarray, span: np.ndarray, sway: float | None = None, least: int = LEAST, outer: int = 2, inner: int = 2) -> np.ndarray:
+    """The residual of each cell: its value less level, trend and season of its source.
+
+    Months and positions with fewer than ``least`` readings have no part of their own;
+    with ``sway`` trend and season move by so many spans at most, each.
+    """
+    g, n = cells.source, cells.n.astype(np.float64)
+    y = cells.value - level[g]
+    seasons, s_of = np.unique(g * 8 + cells.position, return_inverse=True)
+    months, t_of = np.unique(g * 4096 + cells.month, return_inverse=True)
+    s_source, t_source = seasons // 8, months // 4096
+    enough_s = np.bincount(s_of, n) >= least
+    t_count = np.bincount(t_of, n)
+    enough_t = t_count >= least
+    near = (t_source[1:] == t_source[:-1]) & (months[1:] == months[:-1] + 1)
+    trend, season, weight = np.zeros(len(months)), np.zeros(len(seasons)), n
+    for _ in range(outer):
+        for _ in range(inner):
+            raw = np.where(enough_t, weighted_median(t_of, y - season[s_of], weight, len(months)), 0.0)
+            held = np.where(enough_t, t_count, 0.0)
+            up, mass = 2 * held * raw, 2 * held
+            up[1:] += np.where(near, held[:-1] * raw[:-1], 0)
+            mass[1:] += np.where(near, held[:-1], 0)
+            up[:-1] += np.where(near, held[1:] * raw[1:], 0)
+            mass[:-1] += np.where(near, held[1:], 0)
+            trend = np.where(enough_t, up / np.maximum(mass, 1), 0.0)
+            season = np.where(enough_s, weighted_median(s_of, y - trend[t_of], weight, len(seasons)), 0.0)
+            if sway is not None:
+                trend = np.clip(trend, -sway * span[t_source], sway * span[t_source])
+                season = np.clip(season, -sway * span[s_source], sway * span[s_source])
+        residual = y - trend[t_of] - season[s_of]
+        spread = weighted_median(g, np.abs(residual), n, len(level))[g] * 6
+        inside = np.clip(1 - (residual / np.where(spread > 0, spread, np.inf)) ** 2, 0, None) ** 2
+        weight = n * inside
+    return residual
+
+
+def esd_steps(source: np.ndarray, residual: np.ndarray, n: np.ndarray, span: np.ndarray, max_share: float = MAX_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outlier, step, bound) of each cell: the sequential test on all sources at once.
+
+    ``bound`` is the limit of its step in the unit of the values; step and bound are 0
+    where the cell was never the farthest one.
+    """
+    grain = np.round(residual)
+    order = np.lexsort((grain, source))
+    new = np.concatenate([[True], (source[order][1:] != source[order][:-1]) | (grain[order][1:] != grain[order][:-1])])
+    at = np.flatnonzero(new)
+    block = np.empty(len(order), np.int64)
+    block[order] = np.cumsum(new) - 1
+    value, count = grain[order][at], np.add.reduceat(n[order], at)
+    owner = source[order][at]
+    end = np.cumsum(count)
+    before = end - count
+    low = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    high = np.append(low[1:], len(owner)) - 1
+    who = owner[low]
+    total = end[high] - before[low]
+    most = np.floor(total * max_share).astype(np.int64) + 1
+    widest = span[who] / NORMAL_SPAN
+    step, bound = np.zeros(len(value), np.int64), np.zeros(len(value))
+    taken = np.zeros(len(low), np.int64)
+    decided = np.zeros(len(low), np.int64)
+    live = np.arange(len(low))
+    while len(live):
+        lo, hi = low[live], high[live]
+        base, left = before[lo], end[hi] - before[lo]
+        mid = quantile_between(value, end, base, left, 0.5)
+        wide = quantile_between(value, end, base, left, 0.9) - quantile_between(value, end, base, left, 0.1)
+        scale = np.minimum(wide / NORMAL_SPAN, widest[live])
+        upper = value[hi] - mid >= mid - value[lo]
+        far = np.where(upper, value[hi] - mid, mid - value[lo])
+        gone = np.where(upper, hi, lo)
+        i = taken[live] + 1
+        edge = esd_limit(total[live], i) * scale
+        beyond = (far > edge) & (far > 0)
+        step[gone], bound[gone] = i, edge
+        decided[live[beyond]] = i[beyond]
+        taken[live] += count[gone]
+        high[live[upper]] -= 1
+        low[live[~upper]] += 1
+        live = live[(taken[live] < most[live]) & (low[live] <= high[live]) & (far > 0)]
+    flagged = (step > 0) & (step <= decided[np.searchsorted(who, owner)])
+    return flagged[block], step[block], bound[block]
+
+
+def outliers(cells: Cells, sway: float | None, least: int = LEAST) -> dict[str, np.ndarray]:
+    """The outlying cells of the sources with ``least`` readings: index of the cell, level, span, total, uses (of its value), residual, step, bound."""
+    groups = int(cells.source[-1]) + 1 if len(cells.source) else 0
+    enough = np.bincount(cells.source, cells.n, groups) >= least
+    index = np.flatnonzero(enough[cells.source])
+    held = cells.where(index)
+    if not len(index):
+        return {k: np.empty(0) for k in ("index", "level", "span", "total", "uses", "residual", "step", "bound")}
+    ranks = Ranks(held.source, held.value.astype(np.float64), held.n, groups)
+    which = np.flatnonzero(enough)
+    level, span = np.zeros(groups), np.zeros(groups)
+    level[which] = ranks.quantile(0.5, which)
+    span[which] = ranks.quantile(0.9, which) - ranks.quantile(0.1, which)
+    residual = decompose(held, level, span, sway, least)
+    flagged, step, bound = esd_steps(held.source, residual, held.n, span)
+    k = np.flatnonzero(flagged)
+    g = held.source[k]
+    # how many readings of the source have the value, in any cell
+    at = np.lexsort((held.value, held.source))
+    new = np.concatenate([[True], (held.source[at][1:] != held.source[at][:-1]) | (held.value[at][1:] != held.value[at][:-1])])
+    kind = np.empty(len(at), np.int64)
+    kind[at] = np.cumsum(new) - 1
+    uses = np.bincount(kind, held.n)[kind[k]]
+    return {"index": index[k], "level": level[g], "span": span[g], "total": ranks.total[g], "uses": uses, "residual": residual[k], "step": step[k], "bound": bound[k]}
 
 
 #: A code holds row_no (below 2^48), the month (12 bits) and the position in the cycle (3 bits).
@@ -75,12 +244,13 @@ def pack(row_no: Column, period: Column, position: Column) -> Column:
 
 
 def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
-    """kind, s1, s2, value, code: dwell and run readings, and the hard cases (kind ``hard``).
+    """source, value, code: dwell and run readings, and the hard cases (source ``h``).
 
     ``code`` packs row_no, month and quarter of the day (see :func:`pack`).
 
     Rows with a null or blank trip or stop or a null sequence are left out, then the
-    lowest row_no of each (trip, sequence) is kept by a combining aggregate.  Trips are
+    lowest row_no of each (trip, sequence) is kept: a combining aggregate on fixed-width
+    values leaves one row per stop of these, the window the first of them.  Trips are
     cut into blocks of sequence numbers with a halo of three on each side, so that no
     trip, however long, lies in one window as a whole.
     """
@@ -93,13 +263,15 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
         parse_time("departure_time").alias("dep"),
         month_index("service_date").alias("period"),
     ).where("trip is not null and stop is not null and seq is not null")
-    kept = rows.groupBy("trip", "seq").agg(F.min(F.struct("row_no", "stop", "arr", "dep", "period")).alias("r")).select("trip", "seq", "r.*")
+    kept = rows.groupBy("trip", "seq", "stop").agg(F.min("row_no").alias("first"), *(F.min_by(c, "row_no").alias(c) for c in ("arr", "dep", "period"))).withColumnRenamed("first", "row_no")
     at = F.pmod("seq", F.lit(block))
     home = int_div(F.col("seq") - at, block)
     blocks = F.when(at < 3, F.array(home, home - 1)).when(at >= block - 3, F.array(home, home + 1)).otherwise(F.array(home))
     # sequence numbers start at 0 or 1: a halo before block 0 would serve no row
     blocks = F.when((home == 0) & (at < 3), F.array(home)).otherwise(blocks)
     spread = kept.withColumn("home", home).withColumn("block", F.explode(blocks))
+    again = F.lag("seq").over(Window.partitionBy("trip", "block").orderBy("seq", "row_no")) == F.col("seq")
+    spread = spread.withColumn("again", again).where(~F.coalesce("again", F.lit(False))).drop("again")
     w = Window.partitionBy("trip", "block").orderBy("seq")
     lag = lambda c, k=1: F.lag(c, k).over(w)
     lead = lambda c, k=1: F.lead(c, k).over(w)
@@ -114,17 +286,16 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
     flagged = linked.withColumn("stopped", reduce(lambda a, b: a | b, runs)).where("block = home")
     dwell = near_diff(F.col("arr"), F.col("dep"))
     run = F.when(F.col("joined"), near_diff(F.col("dep0"), F.col("arr")))
-    none = F.lit(None).cast("string")
     hard = F.coalesce(dwell < 0, F.lit(False)) | F.coalesce(run <= 0, F.lit(False)) | F.col("stopped")
-    item = lambda kind, s1, s2, value: F.struct(F.lit(kind).alias("kind"), s1.alias("s1"), s2.alias("s2"), value.cast("int").alias("value"))
+    item = lambda source, value: F.struct(source.alias("source"), value.cast("int").alias("value"))
     return (
         flagged.select(
             pack(F.col("row_no"), F.col("period"), int_div(F.pmod(F.col("arr"), F.lit(86400)), 21600)).alias("code"),
             F.explode(
                 F.array(
-                    item("dwell", F.col("stop"), F.lit(""), dwell),
-                    item("run", F.col("stop0"), F.col("stop"), run),
-                    item("hard", F.lit("stop_times"), F.lit(""), F.when(hard, F.lit(0))),
+                    item(F.concat(F.lit("d"), "stop"), dwell),
+                    item(F.concat(F.lit("r"), F.length("stop0").cast("string"), F.lit(":"), "stop0", "stop"), run),
+                    item(F.lit("h"), F.when(hard, F.lit(0))),
                 )
             ).alias("x"),
         )
@@ -134,25 +305,26 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def pathway_readings(pathways: DataFrame) -> DataFrame:
-    """The same columns for traversal times; rows without a pathway id are left out."""
+    """The same columns for traversal times (hard cases: source ``p``); rows without a pathway id are left out."""
     kept = (
         pathways.select(
-            bare("pathway_id").alias("s1"),
+            bare("pathway_id").alias("id"),
             "published_on",
-            F.struct(F.col("row_no").cast("long").alias("row_no"), F.col("traversal_time").cast("int").alias("value")).alias("r"),
+            F.col("row_no").cast("long").alias("row_no"),
+            F.col("traversal_time").cast("int").alias("value"),
         )
-        .where("s1 is not null")
-        .groupBy("s1", "published_on")
-        .agg(F.min("r").alias("r"))
+        .where("id is not null")
+        .groupBy("id", "published_on")
+        .agg(F.min("row_no").alias("first"), F.min_by("value", "row_no").alias("value"))
     )
-    value = F.col("r.value")
+    value = F.col("value")
     return (
         kept.select(
-            pack(F.col("r.row_no"), month_index("published_on"), F.lit(None)).alias("code"),
+            pack(F.col("first"), month_index("published_on"), F.lit(None)).alias("code"),
             F.explode(
                 F.array(
-                    F.struct(F.lit("traversal").alias("kind"), F.col("s1"), F.lit("").alias("s2"), value.alias("value")),
-                    F.struct(F.lit("hard").alias("kind"), F.lit("pathways").alias("s1"), F.lit("").alias("s2"), F.when(value <= 0, F.lit(0)).alias("value")),
+                    F.struct(F.concat(F.lit("t"), "id").alias("source"), value.alias("value")),
+                    F.struct(F.lit("p").alias("source"), F.when(value <= 0, F.lit(0)).alias("value")),
                 )
             ).alias("x"),
         )
@@ -161,69 +333,42 @@ def pathway_readings(pathways: DataFrame) -> DataFrame:
     )
 
 
-def counted(readings: DataFrame) -> DataFrame:
-    """kind, s1, s2, value, n, t0.., p0..: how often each value occurs, in all, by part of the period and by position.
-
-    The period of the data is cut into TREND_PARTS equal parts of months.
+_OUT = pa.schema(
+    [
+        ("source", pa.string()),
+        ("value", pa.int32()),
+        ("cell", pa.int64()),
+        ("n", pa.int64()),
+        ("level", pa.float64()),
+        ("span", pa.float64()),
+        ("total", pa.int64()),
+        ("uses", pa.int64()),
+        ("residual", pa.float64()),
+        ("step", pa.int64()),
+        ("bound", pa.float64()),
+    ]
+)
+_SOFT = "source not in ('h', 'p')"
+
+
+def outlying_cells(readings: DataFrame, sway: float | None, least: int = LEAST) -> DataFrame:
+    """source, value, cell (month and position), n, level, span, total, uses, residual, step, bound of the outlying cells.
+
+    Readings are counted by cell, combined before they are shuffled; the cells then meet
+    by source and are handled in arrays, many sources at a time.
     """
-    month = F.shiftright(F.pmod("code", F.lit(CELLS)), 3)
-    soft = readings.where("kind <> 'hard'")
-    low, high = soft.agg(F.min(F.nullif(month, F.lit(0).cast("long"))), F.max(month)).first()
-    low, high = low or 0, high or 0
-    part = F.least(F.greatest(int_div((month - low) * TREND_PARTS, high - low + 1), F.lit(0)), F.lit(TREND_PARTS - 1))
-    placed = soft.select(*SOURCE, "value", part.alias("part"), F.pmod("code", F.lit(8)).alias("position"))
-    return placed.groupBy(*SOURCE, "value").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count_if(F.col("part") == k).alias(f"t{k}") for k in range(TREND_PARTS)),
-        *(F.count_if(F.col("position") == k + 1).alias(f"p{k}") for k in range(POSITIONS)),
-    )
+    counts = readings.where(_SOFT).groupBy("source", "value", F.pmod("code", F.lit(CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g in whole_groups(batches, 1, BATCH):
+            value, cell, n = (t.column(k).to_numpy() for k in (1, 2, 3))
+            got = outliers(Cells(g, value.astype(np.int64), cell >> 3, cell & 7, n), sway, least)
+            k = pa.array(got["index"].astype(np.int64))
+            own = [t.column(j).combine_chunks().take(k) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, _OUT)), *(pa.array(got[f.name].astype(f.type.to_pandas_dtype()), f.type) for f in list(_OUT)[4:])], schema=_OUT)
 
-def decompose(counts: DataFrame, least: int = 12, sway: float = SWAY) -> DataFrame:
-    """kind, s1, s2, value, n, level, span, total, residual: of every value of sources with ``least`` readings.
-
-    Level and span are the exact median and 10-90 % span of the source.  Trend and season
-    are medians of the part of the period and of the position in the cycle, less the
-    level, where those hold at least ``least`` readings, bounded by ``sway`` spans each.
-    A value's residual is the largest among the parts and positions it occurs in.  All
-    quantiles come from running counts in one sort by source and value.
-    """
-    counts = counts.repartition(*SOURCE)
-    cells = {"t": [f"t{k}" for k in range(TREND_PARTS)], "p": [f"p{k}" for k in range(POSITIONS)]}
-    each = ["n", *cells["t"], *cells["p"]]
-    by = Window.partitionBy(*SOURCE).orderBy("value")
-    run, all_ = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = counts.select("*", *(F.sum(c).over(run).alias(f"run_{c}") for c in each), *(F.sum(c).over(all_).alias(f"all_{c}") for c in each)).where(F.col("all_n") >= least)
-    wanted = [("n", 0.1), ("n", 0.5), ("n", 0.9), *((c, 0.5) for c in each[1:])]
-    place = lambda c, q: (F.col(f"all_{c}") - 1) * q
-    at = lambda c, i: F.min(F.when(F.col(f"run_{c}") > i, F.col("value"))).over(all_)
-    bounds = summed.select(
-        "*",
-        *(at(c, g(place(c, q))).alias(f"{side}_{c}_{int(q * 10)}") for c, q in wanted for side, g in (("lo", F.floor), ("hi", F.ceil))),
-    )
-    between = lambda c, q: F.col(f"lo_{c}_{int(q * 10)}") + (F.col(f"hi_{c}_{int(q * 10)}") - F.col(f"lo_{c}_{int(q * 10)}")) * (place(c, q) - F.floor(place(c, q)))
-    held = bounds.select(*SOURCE, "value", "n", F.col("all_n").alias("total"), between("n", 0.5).alias("level"), (between("n", 0.9) - between("n", 0.1)).alias("span"), *each[1:], *(F.col(f"all_{c}") for c in each[1:]), *(between(c, 0.5).alias(f"mid_{c}") for c in each[1:]))
-    # what lies nearer cannot pass any limit, whatever its season: it needs no residual
-    held = held.where(F.abs(F.col("value") - F.col("level")) > F.col("span") * LEAST_FAR)
-    bounded = lambda c: F.greatest(F.least(F.col(f"mid_{c}") - F.col("level"), F.col("span") * sway), F.col("span") * -sway)
-    shift = lambda c: F.when(F.col(c) > 0, F.when(F.col(f"all_{c}") >= least, bounded(c)).otherwise(F.lit(0.0)))
-    extreme = lambda f: sum((F.coalesce(f(*map(shift, cells[k])), F.lit(0.0)) for k in ("t", "p")), F.lit(0.0))
-    off = F.col("value") - F.col("level")
-    return held.select(*SOURCE, "value", "n", "level", "span", "total", F.greatest(F.abs(off - extreme(F.least)), F.abs(off - extreme(F.greatest))).alias("residual"))
-
-
-def esd_outliers(per: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
-    """The values whose residual lies beyond the generalised ESD limit of their source.
-
-    The number of steps is that of the residuals beyond the loosest limit (the one after
-    ``max_share`` of the readings); the limit of that step decides.
-    """
-    scale = F.col("span") / NORMAL_SPAN
-    loosest = esd_limit(F.col("total"), F.floor(F.col("total") * max_share) + 1)
-    beyond = per.where(F.col("residual") > loosest * scale)
-    steps = beyond.groupBy(SOURCE).agg(F.sum("n").alias("steps"))
-    limit = esd_limit(F.col("total"), F.least(F.greatest(F.col("steps"), F.lit(1)), F.floor(F.col("total") * max_share) + 1))
-    return beyond.join(steps, SOURCE).where(F.col("residual") > limit * scale).drop("steps")
+    ddl = "source string, value int, cell long, n long, level double, span double, total long, uses long, residual double, step long, bound double"
+    return counts.repartition("source").sortWithinPartitions("source").mapInArrow(run, ddl)
 
 
 def exact_rule(values: DataFrame, floor: float = 20.0, spans: float = 3.0) -> DataFrame:
@@ -232,29 +377,45 @@ def exact_rule(values: DataFrame, floor: float = 20.0, spans: float = 3.0) -> Da
     return values.where((d > floor) & (d > F.col("span") * spans))
 
 
-def spikes(stop_times: DataFrame, pathways: DataFrame, salts: int = 16) -> DataFrame:
+def _row_no() -> Column:
+    return F.shiftright("code", 15)
+
+
+def all_readings(stop_times: DataFrame, pathways: DataFrame) -> DataFrame:
+    """The readings of both tables, written once: counting reads their values, the way back to rows reads them again."""
+    return written(stop_time_readings(stop_times).unionByName(pathway_readings(pathways)))
+
+
+def spikes(stop_times: DataFrame, pathways: DataFrame) -> DataFrame:
     """table_name, row_no of the rows with an impossible, stuck or implausible reading, each once.
 
     Nulls are no readings; empty tables give no rows; sources with fewer than 12 readings
     are only held against the range and constant-run checks.
 
-    The readings are written once, as a table in the shared folder: counting reads their
-    values, the way back from bad values to rows reads them again.  Counts are combined
-    before they are shuffled; on the way back a bit table of fixed size drops almost all
-    readings before the join, and the join is salted by row.
+    On the way back from bad values to rows a bit table of fixed size drops almost all
+    readings before the join; values that very many rows have are joined in parts.
     """
-    readings = written(stop_time_readings(stop_times).unionByName(pathway_readings(pathways)))
-    bad = written(exact_rule(esd_outliers(decompose(counted(readings)))).select(*SOURCE, "value"))
-    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    row_no = F.shiftright("code", 15)
-    soft = (
-        screened(readings.where("kind <> 'hard'"), bad, [*SOURCE, "value"])
-        .withColumn("salt", F.pmod(row_no, F.lit(salts)).cast("int"))
-        .join(salted, [*SOURCE, "value", "salt"], "left_semi")
-        .select(F.when(F.col("kind") == "traversal", "pathways").otherwise("stop_times").alias("table_name"), row_no.alias("row_no"))
-    )
-    hard = readings.where("kind = 'hard'").select(F.col("s1").alias("table_name"), row_no.alias("row_no"))
-    return soft.unionByName(hard).distinct()
+    readings = all_readings(stop_times, pathways)
+    bad = written(exact_rule(outlying_cells(readings, SWAY)).groupBy("source", "value").agg(F.max("uses").alias("uses")))
+    soft = spread_join(screened(readings.where(_SOFT), bad, ["source", "value"]), bad, ["source", "value"], "uses", _row_no(), "left_semi")
+    table = lambda paths: F.when(paths, "pathways").otherwise("stop_times").alias("table_name")
+    hard = readings.where(f"not {_SOFT}").select(table(F.col("source") == "p"), _row_no().alias("row_no"))
+    return soft.select(table(F.col("source").startswith("t")), _row_no().alias("row_no")).unionByName(hard).distinct()
+
+
+def anomalies(stop_times: DataFrame, pathways: DataFrame) -> DataFrame:
+    """table_name, row_no, reading, value, level, residual, bound, step: the outliers of the decomposition and the test alone.
+
+    One row per reading; a row of stop_times may have two (dwell and run).
+    """
+    readings = all_readings(stop_times, pathways)
+    bad = written(outlying_cells(readings, None).drop("uses", "span", "total"))
+    keys = ["source", "value", "cell"]
+    rows = screened(readings.where(_SOFT).withColumn("cell", F.pmod("code", F.lit(CELLS))), bad, keys)
+    found = spread_join(rows, bad, keys, "n", _row_no())
+    kind = F.substring("source", 1, 1)
+    reading = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[kind]
+    return found.select(F.when(kind == "t", "pathways").otherwise("stop_times").alias("table_name"), _row_no().alias("row_no"), reading.alias("reading"), "value", "level", "residual", "bound", "step")
 
 
 def screened(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 23) -> DataFrame:

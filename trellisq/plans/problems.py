@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisq.operators.references import TIMETABLE, orphan_counts, orphans
-from trellisq.operators.spikes import spikes
+from trellisq.operators.spikes import anomalies, spikes
 from trellisq.sources.malformed import FEEDS, load_feed, rejected
 from trellisq.sources.tables import table
 
@@ -31,6 +31,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes(table(spark, d, "stop_times"), table(spark, d, "pathways"))
 
 
+def p3_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies(table(spark, d, "stop_times"), table(spark, d, "pathways"))
+
+
 def _timetable(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {t: table(spark, d, t) for t in ("stop_times", "pathways", "trips", "stops", "routes")}
 
@@ -43,7 +47,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(orphans(_timetable(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stop_times, p1_pathways, p1_reasons, p3_found, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stop_times, p1_pathways, p1_reasons, p3_found, p3_anomalies, p5_found, p5_counts)}
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
 _NUMBER = r'(?:"[ \t]*[0-9]+[ \t]*"|[ \t]*[0-9]+[ \t]*)'
@@ -79,9 +83,9 @@ def _why(width: int, number: int, required: bool) -> str:
     text = f"trim({_get(number).replace('raw_line', 'x')}, chr(32) || chr(9))"
     return rf"""CASE
       WHEN regexp_full_match(x, '(?:{_LOOSE},)*"(?:[^"]|"")*') THEN 'unclosed_quote'
-      WHEN regexp_matches(x, '^(?:{_LOOSE},)*"(?:[^"]|"")*"[^",
+      WHEN regexp_matches(x, '^(?:{_LOOSE},)*"(?:[^"]|"")*"[^",
 ]') THEN 'text_after_quote'
-      WHEN regexp_matches(x, '^(?:{_LOOSE},)*{_LOOSE}[
+      WHEN regexp_matches(x, '^(?:{_LOOSE},)*{_LOOSE}[
 ]+') THEN 'bare_line_break'
       WHEN NOT regexp_full_match(x, '(?:{_FIELD},)*{_FIELD}') THEN 'stray_quote'
       WHEN NOT regexp_full_match(x, '{_COUNTED(width - 1)}') THEN CASE WHEN regexp_full_match(x, '{_COUNTED(width)}(?:,{_FIELD})*') THEN 'too_many_fields' ELSE 'too_few_fields' END
