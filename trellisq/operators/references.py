@@ -7,9 +7,9 @@ a parent flag are orphans as a whole; groups whose spans cover the children's wh
 range are sound as a whole; only the keys in between are looked at row by row.
 
 A key that holds a third of all rows therefore crosses the first shuffle as one row per
-map task, and the second pass over the rows meets only suspect keys, salted by row.
-A parent with very many versions is reduced to its separate times of validity before
-these are gathered.
+map task.  In the second pass over the rows a bit table of fixed size drops those of other
+keys before the join, and keys that very many rows have are joined in parts.  A parent with
+very many versions is reduced to its separate times of validity before these are gathered.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisq.operators.skew import screened, spread_join
+from trellisq.session import written
+
 FAR = "9999-12-31 00:00:00"
 
 
@@ -91,7 +94,7 @@ def parents(tables: dict[str, DataFrame], refs: Sequence[Reference]) -> DataFram
     return islands.groupBy("parent", "key", "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("island")
 
 
-def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE, salts: int = 16) -> DataFrame:
+def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE) -> DataFrame:
     """table_name, field_name, row_no, period, reason of every reference without a valid parent.
 
     A reference counts when it is neither null nor blank.  ``reason`` is ``missing`` (no
@@ -105,15 +108,17 @@ def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE,
         F.min("loaded_at").alias("first"),
         F.max("loaded_at").alias("last"),
         F.max(F.col("loaded_at").isNull()).alias("unknown"),
+        F.count(F.lit(1)).alias("uses"),
     )
     spans = parents(tables, refs)
     parent_side = spans.groupBy(keys).agg(F.collect_list(F.struct("since", "until")).alias("spans"))
-    tagged = child_side.select(*keys, "first", "last", "unknown", F.lit(None).cast(parent_side.schema["spans"].dataType).alias("spans")).unionByName(
+    tagged = child_side.select(*keys, "first", "last", "unknown", "uses", F.lit(None).cast(parent_side.schema["spans"].dataType).alias("spans")).unionByName(
         parent_side.select(
             *keys,
             F.lit(None).cast(child_side.schema["first"].dataType).alias("first"),
             F.lit(None).cast(child_side.schema["last"].dataType).alias("last"),
             F.lit(None).cast("boolean").alias("unknown"),
+            F.lit(None).cast("long").alias("uses"),
             "spans",
         )
     )
@@ -121,15 +126,15 @@ def orphans(tables: dict[str, DataFrame], refs: Sequence[Reference] = TIMETABLE,
         F.max("first").alias("first"),
         F.max("last").alias("last"),
         F.max("unknown").alias("unknown"),
+        F.max("uses").alias("uses"),
         F.first("spans", ignorenulls=True).alias("spans"),
     )
     covered = F.exists("spans", lambda s: (s["since"] <= F.col("first")) & (F.col("last") < s["until"]))
-    suspects = groups.where(F.col("unknown").isNotNull() & (F.col("unknown") | ~F.coalesce(covered, F.lit(False)))).select(*keys, "spans")
-    salted = suspects.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = kids.withColumn("salt", F.pmod("row_no", F.lit(salts)).cast("int"))
+    suspects = written(groups.where(F.col("unknown").isNotNull() & (F.col("unknown") | ~F.coalesce(covered, F.lit(False)))).select(*keys, "spans", "uses"))
+    rows = screened(kids, suspects, keys)
     valid = F.exists("spans", lambda s: (s["since"] <= F.col("loaded_at")) & (F.col("loaded_at") < s["until"]))
     return (
-        rows.join(salted, [*keys, "salt"])
+        spread_join(rows, suspects, keys, "uses", F.col("row_no"))
         .where(~F.coalesce(valid, F.lit(False)))
         .select(
             "table_name",

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trellisq.functions.exprs import int_div, near_diff, parse_time
 from trellisq.operators.groups import whole_groups
 from trellisq.operators.references import bare
-from trellisq.operators.skew import spread_join
+from trellisq.operators.skew import screened, spread_join
 from trellisq.session import written
 
 SWAY = 0.1
@@ -416,16 +416,3 @@ def anomalies(stop_times: DataFrame, pathways: DataFrame) -> DataFrame:
     kind = F.substring("source", 1, 1)
     reading = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[kind]
     return found.select(F.when(kind == "t", "pathways").otherwise("stop_times").alias("table_name"), _row_no().alias("row_no"), reading.alias("reading"), "value", "level", "residual", "bound", "step")
-
-
-def screened(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 23) -> DataFrame:
-    """The rows whose keys may be among the wanted ones: all that are, and few others.
-
-    A table of 2^bits bits is set at the hashes of the wanted keys and broadcast: at most
-    2^(bits-6) rows of two numbers, whatever the size of either side.  It only spares
-    shuffling; the join after it decides.
-    """
-    place = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
-    word, bit = F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    table = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("set"))
-    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("set").bitwiseAND(bit) != 0).drop("word", "set")
