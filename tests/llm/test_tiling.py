@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from trellisq.llm import tiling
 from trellisq.llm.tiling import Index, Tile, aligned, chained, leaks, tiles, words
 
 VOC = [f"w{i}" for i in range(400)]
@@ -114,3 +115,87 @@ def test_windows_lose_no_stretch():
         doc = item[20:] + [rng.choice(VOC) for _ in range(40)] + part + [rng.choice(VOC) for _ in range(3)] + item[:20]
         got = [yes for _, _, _, yes in Index([item]).search([" ".join(doc)])]
         assert bool(got and got[0]) == brute(item, doc), (k, item, doc)
+
+
+def aligned_in_full(item, doc):
+    """The alignment with all edits a passage of its length may have: L[e][j] as in the operator, word by word."""
+    most, low = len(item) // 8, -(10**6)
+    prev = [[low] * (len(doc) + 1) for _ in range(most + 1)]
+    for w in item:
+        cur = [[low] * (len(doc) + 1) for _ in range(most + 1)]
+        for e in range(most + 1):
+            for j in range(len(doc) + 1):
+                best = low
+                if j and doc[j - 1] == w:
+                    best = max(prev[e][j - 1] + 1, 1 if e == 0 else low)
+                elif j and e:
+                    best = max(prev[e - 1][j - 1] + 1, 1 if e == 1 else low)
+                if e:
+                    best = max(best, prev[e - 1][j] + 1, cur[e - 1][j - 1] if j else low)
+                cur[e][j] = best
+                if best >= max(25, 8 * e):
+                    return True
+        prev = cur
+    return False
+
+
+@pytest.mark.parametrize("m", [34, 40, 48])
+def test_words_that_stand_elsewhere_in_longer_pieces(m):
+    rng = random.Random(m)
+    item = rng.sample(VOC, m)
+    copy = item[3:30]
+    for k in (4, 12, 20):
+        copy[k] = f"other{k}"
+    far = lambda: [rng.choice(VOC[350:]) + "x" for _ in range(200)]
+    for doc in (item[:17] + far() + item[17:] + far() + copy, copy + far() + item[17:] + far() + item[:17]):
+        assert aligned_in_full(item, doc)
+        ((_, _, _, yes),) = Index([item]).search([" ".join(doc)])
+        assert yes
+
+
+def test_documents_with_several_partial_copies():
+    rng = random.Random(21)
+    seen = {True: 0, False: 0}
+    for _ in range(60):
+        m = rng.choice([30, 40, 64, 120])
+        item = [rng.choice(VOC) for _ in range(m)]
+        doc = []
+        for _ in range(rng.randint(2, 5)):
+            a = rng.randrange(m - 8)
+            part = item[a : a + rng.choice([8, 14, 22, 27, 40, 60])]
+            for _ in range(rng.choice([0, len(part) // 9, len(part) // 7])):
+                k = rng.randrange(len(part))
+                part[k : k + rng.choice([0, 1, 1])] = rng.choice([["new"], []])
+            doc += part + [rng.choice(VOC) for _ in range(rng.choice([0, 3, 40]))]
+        want = aligned_in_full(item, doc)
+        seen[want] += 1
+        got = [yes for _, _, _, yes in Index([item]).search([" ".join(doc)])]
+        assert bool(got and got[0]) == want, (item, doc)
+    assert min(seen.values()) > 5
+
+
+def test_long_tags_are_markup():
+    rng = random.Random(2)
+    item = rng.sample(VOC, 30)
+    tag = '<a href="' + "/".join(["part"] * 80) + '">'
+    doc = " ".join(item[:9]) + tag + " ".join(item[9:17]) + tag + " ".join(item[17:24]) + tag + " ".join(item[24:])
+    ((_, _, share, yes),) = Index([item]).search([doc])
+    assert share == 1.0 and yes
+    assert words("<" + "a" * 100_000) == ["a" * 100_000]
+
+
+def test_many_seeds_are_met_in_parts(monkeypatch):
+    rng = random.Random(8)
+    items = [[rng.choice(VOC) for _ in range(40)] for _ in range(9)]
+    docs = [" ".join(items[k % 9] * 3 + items[(k * 5 + 1) % 9][:20]) for k in range(12)]
+    whole = sorted(Index(items).search(docs))
+    monkeypatch.setattr(tiling, "MOST_SEEDS", 40)
+    assert sorted(Index(items).search(docs)) == whole and len(whole) >= 12
+
+
+def test_verdicts(spark):
+    rng = random.Random(3)
+    item = rng.sample(VOC, 48)
+    docs = [(1, " ".join(item)), (2, " ".join(item[24:36] + item[:12] + item[36:] + item[12:24])), (3, " ".join(item[:12]))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, passage string"))
+    assert sorted((r.doc_id, r.verdict) for r in got.collect()) == [(1, "stretch"), (2, "reordered"), (3, "partial")]

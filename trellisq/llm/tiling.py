@@ -5,17 +5,22 @@ accents, punctuation, markup and spacing aside).  A running Karp-Rabin hash over
 words finds the shared seeds of a whole batch at once; seeds are joined to the passages
 that hold them; for each (passage, document) the longest match is marked again and again
 until none is left, so that tiles do not overlap on either side.  The covered share of
-the passage is reported, whatever the order of the tiles (reordered passages); a leak in
-the sense of the data is a run of at least 25 passage words in order of which at most one
-in eight is changed, dropped or added, decided exactly from the tiles or, where they do not
-settle it, by an alignment around every place where seeds stand.
+the passage is held against a threshold, whatever the order of the tiles (reordered
+passages); a leak in the sense of the data is a run of at least 25 passage words in order of
+which at most one in eight is changed, dropped or added, decided exactly from the tiles or,
+where they do not settle it, by an alignment around every place where seeds stand.
 
 Why seeds of five words lose nothing: 25 or more words with at most an eighth edited keep
 22 intact in at most four stretches, or more in as many; one of them has six words.
 
-The corpus is read once, in one pass without a shuffle, for each block of passages; a block
-holds at most ``block_words`` words, so what is sent to the tasks is bounded.  Passages
-that are equal as words are matched once and expanded to all their items at the end.
+Why seven edits are enough to look for: a longer stretch cut into runs of 32 words, the last
+one of up to 55, has a run within the share, as the shares allowed to the runs add up to
+that of the whole.
+
+The corpus is read once, in one pass without a shuffle, for each block of passages; blocks
+are packed by counted words, at most ``block_words`` each, so what is sent to the tasks is
+bounded.  Passages that are equal as words are matched once and expanded to all their items
+at the end.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from itertools import repeat
 
 import numpy as np
@@ -33,14 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisq.llm.bpe import chunks
+from trellisq.session import written
 
 SEED = 5
 LEAST_WORDS = 25
 EDIT_SHARE = 8
+#: The longest run that has to be looked for, and its edits.
+LONGEST = 56
+MOST_EDITS = LONGEST // EDIT_SHARE
+#: Share of the passage under tiles, in any order, from which a passage counts as taken over though no stretch is left.
+REORDERED = 0.6
+#: Pairs of seed places that are held at a time.
+MOST_SEEDS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u0670\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\u3099\u309a\ufe20-\ufe2f\u00ad\u200b-\u200f\u2060\ufeff]")
 #: Letters that carry a stroke or join two letters and have no decomposition.
 _LETTERS = {"\u0142": "l", "\u00f8": "o", "\u0111": "d", "\u0127": "h", "\u0167": "t", "\u0131": "i", "\u00e6": "ae", "\u0153": "oe", "\u00f0": "d", "\u00fe": "th"}
@@ -137,7 +151,7 @@ def aligned(item: np.ndarray, doc: np.ndarray) -> bool:
     its edits on changed words at its ends.
     """
     m, n = len(item), len(doc)
-    most = _allowed(m)
+    most = min(_allowed(m), MOST_EDITS)
     low = -(10**6)
     prev = np.full((most + 1, n + 1), low, np.int32)
     need = np.maximum(np.arange(most + 1) * EDIT_SHARE, LEAST_WORDS)[:, None]
@@ -161,6 +175,27 @@ def aligned(item: np.ndarray, doc: np.ndarray) -> bool:
     return False
 
 
+@dataclass
+class Seeds:
+    """Seed hashes of passages in ascending order, with the passage and the place they stand at."""
+
+    hash: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.distinct, first = np.unique(self.hash, return_index=True)
+        self.first = np.append(first, len(self.hash))
+
+    def halves(self) -> list[Seeds]:
+        """The seeds of the lower and of the upper passages; nothing to split where there is one passage."""
+        low, high = (int(self.item.min()), int(self.item.max())) if len(self.item) else (0, 0)
+        if low == high:
+            return []
+        lower = self.item <= (low + high) // 2
+        return [Seeds(self.hash[k], self.item[k], self.place[k]) for k in (lower, ~lower)]
+
+
 class Index:
     """The passages of one block: word ids, seed hashes and where they stand."""
 
@@ -169,11 +204,7 @@ class Index:
         self.items = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in p], np.int64) for p in passages]
         rows = [(h, k, i) for k, p in enumerate(self.items) for i, h in enumerate(self.hashes(p).tolist())]
         rows.sort()
-        self.hash = np.array([r[0] for r in rows], np.uint64)
-        self.item = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
-        self.distinct, first = np.unique(self.hash, return_index=True)
-        self.first = np.append(first, len(self.hash))
+        self.seeds = Seeds(np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
 
     @staticmethod
     def hashes(ids: np.ndarray) -> np.ndarray:
@@ -198,20 +229,28 @@ class Index:
             flat[b : b + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
         del found
         known = np.flatnonzero(np.convolve(flat > 0, np.ones(SEED, np.int8), "valid") == SEED) if len(flat) >= SEED else np.empty(0, np.int64)
-        if not len(known) or not len(self.distinct):
-            return
         with np.errstate(over="ignore"):
             h = np.zeros(len(known), np.uint64)
             for k in range(SEED):
                 h = h * BASE + flat[known + k].astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)
-        hit = self.distinct[at] == h
-        known, at = known[hit], at[hit]
+        yield from self._met(flat, base, known, h, self.seeds)
+
+    def _met(self, flat: np.ndarray, base: np.ndarray, known: np.ndarray, h: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, float, bool]]:
+        """The judged pairs of texts and passages; passages are halved where too many seed places meet at once."""
+        if not len(known) or not len(seeds.distinct):
+            return
+        at = np.minimum(np.searchsorted(seeds.distinct, h), len(seeds.distinct) - 1)
+        hit = seeds.distinct[at] == h
+        known, at, h = known[hit], at[hit], h[hit]
         # join the seeds with every passage place that has them
-        many = self.first[at + 1] - self.first[at]
+        many = seeds.first[at + 1] - seeds.first[at]
+        if many.sum() > MOST_SEEDS and (halves := seeds.halves()):
+            for half in halves:
+                yield from self._met(flat, base, known, h, half)
+            return
         where = np.repeat(known, many)
-        row = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        item, place = self.item[row], self.place[row]
+        row = np.repeat(seeds.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        item, place = seeds.item[row], seeds.place[row]
         text = np.searchsorted(base, where, "right") - 1
         order = np.lexsort((where, place, item, text))
         text, item, place, where = text[order], item[order], place[order], where[order]
@@ -246,7 +285,7 @@ class Index:
         Tiles do not tell: words that are tiled elsewhere in the document have no tile here.
         """
         m = len(item)
-        room = _allowed(m)
+        room = min(_allowed(m), MOST_EDITS)
         by = np.lexsort((place, where - place))
         diagonal, place = (where - place)[by], place[by]
         lowest, first = np.unique(diagonal, return_index=True)
@@ -255,10 +294,12 @@ class Index:
         for d, a, b in zip(lowest.tolist(), first.tolist(), last.tolist()):
             if b - a < 2:
                 continue
-            cover = SEED + np.minimum(np.diff(np.sort(place[a:b])), SEED).sum()
+            held = np.sort(place[a:b])
+            cover = SEED + np.minimum(np.diff(held), SEED).sum()
             if cover < 2 * SEED or not self._possible(item, doc, d):
                 continue
-            lo, hi = max(0, d - room), min(len(doc), d + m + 2 * room)
+            first_word, last_word = max(0, int(held[0]) - LONGEST), min(m, int(held[-1]) + SEED + LONGEST)
+            lo, hi = max(0, d + first_word - room), min(len(doc), d + last_word + 2 * room)
             if out and lo <= out[-1][1]:
                 out[-1] = (out[-1][0], max(hi, out[-1][1]))
             else:
@@ -274,7 +315,7 @@ class Index:
         the edits allowed.
         """
         m = len(item)
-        slack = _allowed(m) + 1
+        slack = min(_allowed(m), MOST_EDITS) + 1
         near = np.zeros(m, bool)
         for s in range(-slack, slack + 1):
             j = np.arange(m) + diagonal + s
@@ -284,6 +325,17 @@ class Index:
         return bool(runs.max() >= 18)
 
 
+def _blocks(passages: DataFrame, block_words: int) -> list[tuple[int, int]]:
+    """(part, parts) of blocks of distinct passages (key, n): hash parts of at most ``block_words`` counted words, or of one passage."""
+    total = passages.agg(F.sum("n")).first()[0] or 0
+    parts = -(-total // block_words) or 1
+    while True:
+        sizes = passages.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("passages"))
+        if parts == 1 or sizes.where((F.col("words") > block_words) & (F.col("passages") > 1)).isEmpty():
+            return [(r.part, parts) for r in sizes.select("part").orderBy("part").toLocalIterator()]
+        parts *= 2
+
+
 def leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -293,35 +345,36 @@ def leaks(
     passage_col: str = "passage",
     block_words: int = 2_000_000,
 ) -> DataFrame:
-    """<item_col>, <id_col>, covered (share of the passage under tiles), stretch (a leak as defined).
+    """<item_col>, <id_col>, covered (share of the passage under tiles), stretch (a leak as defined), verdict.
 
-    One row per item and document that share tiles of at least ten words in sum.  Null and
-    empty texts and passages, and passages under five words, match nothing; repeated rows
-    and equal passages each get their rows.
+    One row per item and document that share seeds over ten passage words or more.
+    ``verdict`` is ``stretch``; or ``reordered`` where tiles cover REORDERED of a passage of
+    25 words or more in another order; or ``partial``.  Null and empty texts and passages,
+    and passages under five words, match nothing; repeated rows and equal passages each get
+    their rows.
     """
     spark = documents.sparkSession
-    held = items.where(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long").alias(item_col), F.col(passage_col).alias("passage"))
-    passages = held.select("passage").distinct()
-    n_words = passages.agg(F.sum(F.size(F.split("passage", r"\s+")))).first()[0] or 0
-    blocks = -(-n_words // block_words) or 1
-    schema = pa.schema([("k", pa.int64()), (id_col, pa.int64()), ("covered", pa.float64()), ("stretch", pa.bool_())])
-    out = None
-    for block in range(blocks):
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for (p,) in passages.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == block).collect():
-            groups.setdefault(tuple(words(p)), []).append(p)
-        keys = [k for k in groups if len(k) >= SEED]
-        index = spark.sparkContext.broadcast(Index([list(k) for k in keys]))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    as_words = F.pandas_udf(lambda s: s.map(lambda p: " ".join(words(p))), "string")
+    named = items.where(F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long").alias(item_col), as_words(passage_col).alias("key"))
+    named = written(named.withColumn("n", F.size(F.split("key", " "))).where((F.col("key") != "") & (F.col("n") >= SEED)))
+    passages = named.groupBy("key").agg(F.min("n").alias("n"))
+    schema = pa.schema([("kid", pa.string()), ("n", pa.int32()), (id_col, pa.int64()), ("covered", pa.float64()), ("stretch", pa.bool_())])
+    ddl = f"kid string, n int, `{id_col}` long, covered double, stretch boolean"
+    texts = documents.select(id_col, text_col)
+    found = spark.createDataFrame([], ddl)
+    for part, parts in _blocks(passages, block_words):
+        keys = [r.key for r in passages.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).select("key").collect()]
+        sent = spark.sparkContext.broadcast((Index([k.split(" ") for k in keys]), [md5(k.encode()).hexdigest() for k in keys]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, kids = sent.value
             for b in batches:
                 ids, texts = b.column(0).cast(pa.int64()).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
                 for lo, hi in chunks(texts):
-                    got = [(k, ids[lo + t], share, yes) for t, k, share, yes in index.value.search(texts[lo:hi])]
+                    got = [(kids[k], len(index.items[k]), ids[lo + t], share, yes) for t, k, share, yes in index.search(texts[lo:hi])]
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), schema)], schema=schema) if got else pa.RecordBatch.from_pylist([], schema=schema)
 
-        found = documents.select(id_col, text_col).mapInArrow(run, f"k long, `{id_col}` long, covered double, stretch boolean")
-        names = held.join(spark.createDataFrame([(n, p) for n, k in enumerate(keys) for p in groups[k]], "k long, passage string"), "passage").select("k", item_col)
-        part = found.join(names, "k").select(item_col, id_col, "covered", "stretch")
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = found.unionByName(texts.mapInArrow(run, ddl))
+    verdict = F.when(F.col("stretch"), "stretch").when((F.col("covered") >= REORDERED) & (F.col("n") >= LEAST_WORDS), "reordered").otherwise("partial")
+    names = named.select(F.md5("key").alias("kid"), item_col)
+    return found.join(names, "kid").select(item_col, id_col, "covered", "stretch", verdict.alias("verdict"))
