@@ -164,7 +164,7 @@ def _spans(text: str, reading: str) -> list[tuple[int, int, str]]:
             size, c, strong = places[i]
             if strong and size == 2 and text[i + 1] in CLOSING and not text[i + 2 : i + 3].isalpha() and text[max(0, i - 1) : i].isupper():
                 strong = False
-            if strong and all(map(_drawn, text[i : i + size])) and not (text[max(0, i - 1) : i] + text[i + size : i + size + 1]).isalpha():
+            if strong and all(map(_drawn, text[i : i + size])) and not any(x.isalpha() for x in text[max(0, i - 1) : i] + text[i + size : i + size + 1]):
                 strong = False  # a drawing
             proof, weak = proof or strong, weak + (not strong)
             parts.append(c)
