@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import near_diff, parse_time
+from trellisq.operators.groups import whole_groups
 from trellisq.operators.references import bare
+from trellisq.operators.skew import spread_join
 from trellisq.session import written
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -110,34 +112,6 @@ def rank_error(q: float, below: np.ndarray, upto: np.ndarray, n: np.ndarray) ->
     return np.maximum(np.maximum(below + 1 - rank, rank - np.maximum(upto, below)), 0) / np.maximum(n, 1)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, size: int = BATCH) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows sorted by the first ``keys`` columns, with the group number of each row."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def numbered(t: pa.Table) -> np.ndarray:
-        new = np.zeros(len(t), bool)
-        for c in t.columns[:keys]:
-            codes = c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            new[1:] |= codes[1:] != codes[:-1]
-        return np.cumsum(new)
-
-    for b in batches:
-        held.append(b)
-        rows += len(b)
-        if rows >= size:
-            t = pa.Table.from_batches(held)
-            g = numbered(t)
-            k = int(np.searchsorted(g, g[-1]))  # the last group may go on
-            if k:
-                yield t.slice(0, k), g[:k]
-            held, rows = t.slice(k).to_batches(), len(t) - k
-            size = max(size, 2 * rows)
-    if rows:
-        t = pa.Table.from_batches(held)
-        yield t, numbered(t)
-
-
 _ESTIMATES = [f"q{j}" for j in range(len(QUANTILES))]
 _FIELDS = [("n", pa.int64()), *((c, pa.float64()) for c in (*_ESTIMATES, "error")), *((c, pa.list_(pa.float64())) for c in ("mean", "weight", "low", "high"))]
 _SQL = {"n": "long", **dict.fromkeys((*_ESTIMATES, "error"), "double")}
@@ -203,7 +177,7 @@ def build(df: DataFrame, keys: list[str], metrics: list[str], delta: float = DEL
         return _columns(cluster(group[new], value[new], weight, value[new], value[new], delta), groups, error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in _whole_groups(batches, len(keys)):
+        for t, g in whole_groups(batches, len(keys), BATCH):
             groups = int(g[-1]) + 1
             firsts = pa.array(np.searchsorted(g, np.arange(groups)))
             columns = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys)]]
@@ -223,7 +197,7 @@ def merge(digests: DataFrame, keys: list[str], metrics: list[str], delta: float
     lists = ("mean", "weight", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in _whole_groups(batches, len(keys)):
+        for t, g in whole_groups(batches, len(keys), BATCH):
             groups = int(g[-1]) + 1
             firsts = pa.array(np.searchsorted(g, np.arange(groups)))
             columns = [c.combine_chunks().take(firsts) for c in t.columns[: len(keys)]]
@@ -239,16 +213,20 @@ def merge(digests: DataFrame, keys: list[str], metrics: list[str], delta: float
     return digests.select(*keys, *(f"{m}_{c}" for m in metrics for c in lists)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
-def certify(values: DataFrame, digests: DataFrame, keys: list[str], metrics: list[str], salts: int = 8) -> DataFrame:
-    """The digests with their rank errors, counted in a second pass over the values (salted by row_no)."""
+def certify(values: DataFrame, digests: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """The digests (a written table) with their rank errors, counted in a second pass over the values.
+
+    Estimates of few groups are small enough for Spark to send them to the values; else
+    groups that very many rows have, by the digests' own counts, are joined in parts.
+    The counts are combined in each task.
+    """
     qs = range(len(QUANTILES))
-    wide = digests.select(*keys, *(f"{m}_{c}" for m in metrics for c in _ESTIMATES), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    held = values.select(*keys, *metrics, F.pmod("row_no", F.lit(salts)).cast("int").alias("salt")).join(wide, [*keys, "salt"])
-    sums = held.groupBy(*keys, "salt").agg(
+    wide = digests.select(*keys, *(f"{m}_{c}" for m in metrics for c in _ESTIMATES), F.greatest(*(f"{m}_n" for m in metrics)).alias("_n"))
+    held = spread_join(values.select(*keys, *metrics, "row_no"), wide, keys, "_n", F.col("row_no"))
+    counts = held.groupBy(*keys).agg(
         *(F.count_if(F.col(m) < F.col(f"{m}_q{j}")).alias(f"below_{m}_{j}") for m in metrics for j in qs),
         *(F.count_if(F.col(m) <= F.col(f"{m}_q{j}")).alias(f"upto_{m}_{j}") for m in metrics for j in qs),
     )
-    counts = sums.groupBy(*keys).agg(*(F.sum(f"{s}_{m}_{j}").alias(f"{s}_{m}_{j}") for s in ("below", "upto") for m in metrics for j in qs))
 
     def off(m: str, j: int, q: float) -> Column:
         n, below, upto = F.col(f"{m}_n"), F.col(f"below_{m}_{j}"), F.col(f"upto_{m}_{j}")
@@ -277,22 +255,31 @@ def _result(d: DataFrame, day: Column) -> DataFrame:
     return rows.select("stop_id", "service_date", "x.metric", "x.n", *(F.col(f"x.q{k}").alias(f"p{int(q * 100)}") for k, q in enumerate(QUANTILES)), F.col("x.error").alias("rank_error"))
 
 
+#: Stands for no day within a key: the least number of days, which is no date.
+NO_DAY = -(1 << 31)
+
+
 def daily_digests(values: DataFrame, split_rows: int = 1_000_000) -> DataFrame:
-    """One row of digests per stop and day; groups above ``split_rows`` rows are cut, merged and certified by a second pass."""
-    keys = ["stop_id", "service_date"]
+    """One row of digests per stop and day; groups above ``split_rows`` rows are cut, merged and certified by a second pass.
+
+    Rows without a day are a group of their own with a null service_date.
+    """
+    keys, metrics = ["stop_id", "day"], list(METRICS)
+    dated = values.withColumn("day", F.coalesce(F.unix_date("service_date"), F.lit(NO_DAY))).drop("service_date")
+    named = lambda d: d.withColumn("service_date", F.when(F.col("day") != NO_DAY, F.date_from_unix_date("day"))).drop("day")
     # a day can only be large where its stop is: days are counted for the large stops alone
     count = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows)
-    stops = written(count(values, ["stop_id"]).select("stop_id"))
+    stops = written(count(dated, ["stop_id"]).select("stop_id"))
     if stops.isEmpty():
-        return written(build(values, keys, list(METRICS)))
-    days = count(values.join(stops, "stop_id", "left_semi"), keys)
+        return written(named(build(dated, keys, metrics)))
+    days = count(dated.join(stops, "stop_id", "left_semi"), keys)
     large = written(days.withColumn("parts", F.ceil(F.col("rows") / split_rows)).drop("rows"))
     if large.isEmpty():
-        return written(build(values, keys, list(METRICS)))
-    whole = build(values.join(large, keys, "left_anti"), keys, list(METRICS))
-    cut = values.join(large, keys).withColumn("part", F.pmod("row_no", "parts"))
-    parts = build(cut, [*keys, "part"], list(METRICS))
-    return written(whole.unionByName(certify(cut, merge(parts, keys, list(METRICS)), keys, list(METRICS)).select(whole.columns)))
+        return written(named(build(dated, keys, metrics)))
+    whole = build(dated.join(large, keys, "left_anti"), keys, metrics)
+    cut = dated.join(large, keys).withColumn("part", F.pmod("row_no", "parts"))
+    merged = written(merge(build(cut, [*keys, "part"], metrics), keys, metrics))
+    return written(named(whole.unionByName(certify(cut, merged, keys, metrics).select(whole.columns))))
 
 
 def stop_percentiles(stop_times: DataFrame) -> DataFrame:
@@ -301,11 +288,12 @@ def stop_percentiles(stop_times: DataFrame) -> DataFrame:
     Dwell and time of day in seconds, per stop and day and per stop over all days, the
     latter merged from the days' digests.  A percentile is the value at rank ceil(q*n).
     Rows without a service_date count over all days only: they are in digests of their
-    own, which are merged but not listed as a day.  Null times are no values, a group without values gives no row; repeated rows count
-    each; an empty table gives no rows.
+    own, which are merged but not listed as a day.  Null times are no values, a group
+    without values gives no row; repeated rows count each; an empty table gives no rows.
     """
-    values = stop_values(stop_times)
-    days = daily_digests(values.where("service_date is not null"))
-    undated = daily_digests(values.where("service_date is null").withColumn("service_date", F.lit("1970-01-01").cast("date")))
-    whole = certify(values, written(merge(days.unionByName(undated), ["stop_id"], list(METRICS))), ["stop_id"], list(METRICS))
-    return _result(days, F.col("service_date")).unionByName(_result(whole, F.lit(None).cast("date")))
+    values, metrics = stop_values(stop_times), list(METRICS)
+    days = daily_digests(values)
+    # the centroids are not needed any more once they are merged
+    merged = written(merge(days, ["stop_id"], metrics).select("stop_id", *(f"{m}_{c}" for m in metrics for c in ("n", *_ESTIMATES, "error"))))
+    whole = certify(values, merged, ["stop_id"], metrics)
+    return _result(days.where("service_date is not null"), F.col("service_date")).unionByName(_result(whole, F.lit(None).cast("date")))
