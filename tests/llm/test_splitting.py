@@ -88,3 +88,16 @@ def test_table(spark):
     long = sorted(by[4], key=lambda r: r.piece_no)
     assert [r.piece_no for r in long] == list(range(len(long))) and all(r.n_tokens <= 64 and r.piece == rows[4][1][r.start : r.end] for r in long)
     assert split(df.limit(0)).count() == 0
+
+
+def test_headings_of_any_length():
+    title = "word " * 60
+    (kind, at), *_ = boundaries(f"intro\n{title.strip()}\n=====\nbody")
+    assert kind == "heading" and at == [6]
+
+
+def test_unbroken_text_is_cut_at_any_length():
+    # one pre-token, its tokens as long as the vocabulary has them
+    text = " " * 200_000 + "x"
+    got = pieces(text, Limits(16, 0))
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] >= b[0] for a, b in zip(got, got[1:])) and all(n <= 16 for _, _, n, _ in got)

@@ -2,11 +2,9 @@
 
 Method: a pair occurrence index over all different pre-tokens of a batch.  The symbols
 of the pre-tokens stand in one doubly linked array; each mergeable pair maps to all its
-positions; ranks are taken in ascending order and each merge updates the index of its
-neighbours only.  A pre-token of a million characters therefore costs n log n, not n^2,
-and each different pre-token of a batch is merged once.  Short pre-tokens go through the
-same index in array form: every round looks up all pairs at once and applies, at all its
-places, the lowest active rank of each pre-token.
+positions (the first index is made in arrays); ranks are taken in ascending order and each
+merge updates the index of its neighbours only.  A pre-token of a million characters
+therefore costs n log n, not n^2, and each different pre-token of a worker is merged once.
 
 Null and empty texts have defined ids: the empty list.  Marker look-alikes such as
 ``<|endoftext|>`` are ordinary text; no special token is ever produced.
@@ -37,8 +35,6 @@ PATTERN = (
 )
 #: Different pre-tokens that a worker remembers between batches; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
-#: Bytes up to which a pre-token counts as short.
-SHORT = 40
 #: Characters that are encoded at a time within a batch.
 CHUNK = 4_000_000
 
@@ -51,6 +47,7 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.single = [ranks[bytes([i])] for i in range(256)]
         self.merged: dict[tuple[int, int], int] = {}
         pairs = sorted((ranks[b[:k]] << 32 | ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks)
@@ -65,60 +62,29 @@ class Vocabulary:
             r = self.merged[a, b] = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
         return r
 
-    def encode_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pre-tokens one after the other, number of ids of each), in array form."""
-        none = np.iinfo(np.int64).max
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        sym = self.single_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), size)
-        done_sym, done_piece = [], []
-        while len(sym):
-            # the pair that begins at each place, and its rank
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.full(len(sym), none)
-            rank[:-1] = np.where((self.pair_keys[at] == key) & (piece[:-1] == piece[1:]), self.pair_ranks[at], none)
-            first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            length = np.diff(np.r_[first, len(sym)])
-            lowest = np.repeat(np.minimum.reduceat(rank, first), length)
-            live = lowest < none
-            if not live.all():
-                done_sym.append(sym[~live])
-                done_piece.append(piece[~live])
-                sym, piece, rank, lowest = sym[live], piece[live], rank[live], lowest[live]
-                if not len(sym):
-                    break
-            hit = rank == lowest
-            # of overlapping places (runs of one symbol) every second is taken, from the left
-            place = np.arange(len(sym))
-            begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
-            hit &= (place - begin) % 2 == 0
-            sym = np.where(hit, rank, sym)
-            keep = ~np.r_[False, hit[:-1]]
-            sym, piece = sym[keep], piece[keep]
-        sym, piece = np.concatenate(done_sym or [sym]), np.concatenate(done_piece or [piece])
-        order = np.argsort(piece, kind="stable")
-        return sym[order], np.bincount(piece, minlength=len(pieces))
-
     def encode_pieces(self, pieces: list[bytes]) -> list[array]:
         """Token ids of each pre-token, by one occurrence index over all of them."""
-        single, merge = self.single, self.merge
-        sym: list[int] = []
-        starts: list[int] = []
-        for p in pieces:
-            starts.append(len(sym))
-            sym.extend([single[x] for x in p])
-            sym.append(-1)  # a wall between pre-tokens
-        n = len(sym)
+        merge = self.merge
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        walls = np.cumsum(size + 1) - 1  # one between pre-tokens
+        symbols = np.full(int(size.sum()) + len(pieces), -1, np.int64)
+        inside = np.ones(len(symbols), bool)
+        inside[walls] = False
+        symbols[inside] = self.single_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(symbols)
+        # the index: all places of each pair that merges, by its rank
+        key = symbols[:-1] << 32 | symbols[1:]
+        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        place = np.flatnonzero((self.pair_keys[found] == key) & (symbols[:-1] >= 0) & (symbols[1:] >= 0)) if n > 1 else np.empty(0, np.int64)
+        rank = self.pair_ranks[found[place]]
+        order = np.argsort(rank, kind="stable")
+        rank, place = rank[order], place[order]
+        edge = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1], True]) if len(rank) else np.zeros(1, np.int64)
+        at: dict[int, list[int]] = {int(rank[lo]): place[lo:hi].tolist() for lo, hi in zip(edge[:-1], edge[1:])}
+        sym = symbols.tolist()
+        starts = (walls - size).tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        at: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0:
-                r = merge(a, b)
-                if r >= 0:
-                    at.setdefault(r, []).append(i)
         ranks = list(at)
         heapq.heapify(ranks)
         while ranks:
@@ -204,12 +170,9 @@ class Encoder:
         if not new:
             return
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        short = [len(r) <= SHORT for r in raw]
-        names = [p for p, k in zip(new, short) if k] + [p for p, k in zip(new, short) if not k]
-        ids, sizes = self.vocabulary.encode_short([r for r, k in zip(raw, short) if k])
-        long_ids = self.vocabulary.encode_pieces([r for r, k in zip(raw, short) if not k])
-        sizes = np.concatenate([sizes, np.fromiter(map(len, long_ids), np.int64, len(long_ids))])
-        ids = np.concatenate([ids, *(np.asarray(x, np.int64) for x in long_ids)])
+        lists = self.vocabulary.encode_pieces(raw)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.frombuffer(b"".join(x.tobytes() for x in lists), np.int32)
         k, known = len(code), len(code) + len(new)
         if known > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * known), np.resize(self.sizes, 2 * known)
@@ -219,7 +182,7 @@ class Encoder:
         self.sizes[k:known] = sizes
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        code.update(zip(names, range(k, known)))
+        code.update(zip(new, range(k, known)))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the pre-tokens of all texts one after the other, number of pre-tokens of each text)."""

@@ -30,7 +30,7 @@ from trellisq.llm.bpe import VOCABULARY, Encoder, chunks, encoder
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD, HARD, END = "heading", "paragraph", "line", "sentence", "word", "hard", "end"
 
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")
-_HEADING = re.compile(r"(?:(?<=\n)|(?<=\r))(?=#{1,6}[ \t]|={3,}[^=\r\n]|[^\r\n]{1,120}(?:\r\n|\n|\r)(?:={3,}|-{3,})[ \t]*(?:[\r\n]|\Z))")
+_HEADING = re.compile(r"(?:(?<=\n)|(?<=\r))(?=#{1,6}[ \t]|={3,}[^=\r\n]|[^\r\n]+(?:\r\n|\n|\r)(?:={3,}|-{3,})[ \t]*(?:[\r\n]|\Z))")
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _SENTENCE = re.compile(r"[.!?\u2026;\u061f\u06d4][\"'\u201d\u2019\u00bb)\]]*\s+|[\u3002\uff01\uff1f\uff1b][\u300d\u300f\u201d\u2019\uff09]*")
 
@@ -63,6 +63,8 @@ class Splitter:
 
     def __init__(self, enc: Encoder, limits: Limits) -> None:
         self.enc, self.limits = enc, limits
+        #: No piece within the limit has more characters.
+        self.most_characters = limits.limit * enc.vocabulary.longest
 
     def count(self, text: str) -> int:
         """Tokens of a text of its own."""
@@ -106,10 +108,10 @@ class Splitter:
             # what every piece has to pass: the start, and the end of the piece before
             passed = max(start, out[-1][1] if out else 0)
             if most <= passed:
-                cut, end = HARD, self._longest(text, start, min(n, max(most, start) + 64 * limit))
+                cut, end = HARD, self._longest(text, start, min(n, start + self.most_characters))
                 if end <= passed:  # the overlap alone fills the piece: go on without it
                     start = passed
-                    end = self._longest(text, start, min(n, start + 64 * limit))
+                    end = self._longest(text, start, min(n, start + self.most_characters))
                 if end == n:
                     cut = END
             elif most >= n:
