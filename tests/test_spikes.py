@@ -123,6 +123,11 @@ def test_long_trip_over_blocks(spark):
     assert whole == 18
 
 
+def test_extreme_and_missing_times(spark):
+    st = [(1, "t", 1, "s", None, "-596000:00:00"), (2, "t", 2, "s", "-596000:00:00", None), (3, "t", 3, "s", "596000:00:00", "00:00:10"), (4, "t", 4, "s", "00:00:05", "00:00:01"), (5, "t", 5, "s", None, None)]
+    assert run(spark, st, []) == brute(st, []) == {("stop_times", 2), ("stop_times", 3), ("stop_times", 4)}
+
+
 def test_empty_and_null(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [(1, None, None, None, None, None)], [(1, None, None, None)]) == set()

@@ -229,6 +229,8 @@ def outliers(cells: Cells, sway: float | None, least: int = LEAST) -> dict[str,
     return {"index": index[k], "level": level[g], "span": span[g], "total": ranks.total[g], "uses": uses, "residual": residual[k], "step": step[k], "bound": bound[k]}
 
 
+#: Stands for no time where two are packed; no text gives it.
+_NO_TIME = -(1 << 31)
 #: A code holds row_no (below 2^48), the month (12 bits) and the position in the cycle (3 bits).
 CELLS = 1 << 15
 
@@ -254,24 +256,37 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
     cut into blocks of sequence numbers with a halo of three on each side, so that no
     trip, however long, lies in one window as a whole.
     """
+    # what crosses the shuffles is packed: the row with its month, and both times
+    time = lambda c: F.coalesce(parse_time(c), F.lit(_NO_TIME)).cast("long")
     rows = stop_times.select(
         bare("trip_id").alias("trip"),
-        F.col("stop_sequence").cast("long").alias("seq"),
-        F.col("row_no").cast("long").alias("row_no"),
+        F.col("stop_sequence").cast("int").alias("seq"),
         bare("stop_id").alias("stop"),
-        parse_time("arrival_time").alias("arr"),
-        parse_time("departure_time").alias("dep"),
-        month_index("service_date").alias("period"),
+        (F.col("row_no").cast("long") * 4096 + month_index("service_date")).alias("row"),
+        (time("arrival_time") * (1 << 32) + F.pmod(time("departure_time"), F.lit(1 << 32))).alias("times"),
     ).where("trip is not null and stop is not null and seq is not null")
-    kept = rows.groupBy("trip", "seq", "stop").agg(F.min("row_no").alias("first"), *(F.min_by(c, "row_no").alias(c) for c in ("arr", "dep", "period"))).withColumnRenamed("first", "row_no")
+    kept = rows.groupBy("trip", "seq", "stop").agg(F.min("row").alias("first"), F.min_by("times", "row").alias("times"))
     at = F.pmod("seq", F.lit(block))
-    home = int_div(F.col("seq") - at, block)
+    home = int_div(F.col("seq") - at, block).cast("int")
     blocks = F.when(at < 3, F.array(home, home - 1)).when(at >= block - 3, F.array(home, home + 1)).otherwise(F.array(home))
     # sequence numbers start at 0 or 1: a halo before block 0 would serve no row
     blocks = F.when((home == 0) & (at < 3), F.array(home)).otherwise(blocks)
-    spread = kept.withColumn("home", home).withColumn("block", F.explode(blocks))
-    again = F.lag("seq").over(Window.partitionBy("trip", "block").orderBy("seq", "row_no")) == F.col("seq")
-    spread = spread.withColumn("again", again).where(~F.coalesce("again", F.lit(False))).drop("again")
+    spread = kept.withColumn("block", F.explode(blocks))
+    again = F.lag("seq").over(Window.partitionBy("trip", "block").orderBy("seq", "first")) == F.col("seq")
+    arr, low = F.shiftright("times", 32), F.pmod("times", F.lit(1 << 32))
+    dep = F.when(low < 1 << 31, low).otherwise(low - (1 << 32))
+    spread = spread.withColumn("again", again).where(~F.coalesce("again", F.lit(False)))
+    spread = spread.select(
+        "trip",
+        "seq",
+        "stop",
+        "block",
+        home.alias("home"),
+        F.shiftright("first", 12).alias("row_no"),
+        F.pmod("first", F.lit(4096)).alias("period"),
+        F.nullif(arr.cast("int"), F.lit(_NO_TIME)).alias("arr"),
+        F.nullif(dep.cast("int"), F.lit(_NO_TIME)).alias("dep"),
+    )
     w = Window.partitionBy("trip", "block").orderBy("seq")
     lag = lambda c, k=1: F.lag(c, k).over(w)
     lead = lambda c, k=1: F.lead(c, k).over(w)
