@@ -210,3 +210,17 @@ def test_a_hot_value_is_joined_in_parts(spark, monkeypatch):
     want = brute(st, pw)
     monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", 1))
     assert run(spark, st, pw) == want
+
+
+def test_large_blocks_and_sources_are_combined_first(spark, monkeypatch):
+    from trellisq.operators import skew, spikes as module
+
+    st, pw = data(8)
+    st += [(5000 + i, "t1", 3, "hot", clock(i), clock(i)) for i in range(40)]
+    want = brute(st, pw)
+    tables = lambda: (spark.createDataFrame([(*r, dt.date(2025, 1 + r[0] % 6, 3), "clash") for r in st], ST), spark.createDataFrame(pw, PW))
+    plain = sorted(map(tuple, anomalies(*tables()).collect()))
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 9)
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (9,))
+    assert run(spark, st, pw) == want
+    assert sorted(map(tuple, anomalies(*tables()).collect())) == plain

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trellisq.functions.exprs import int_div, near_diff, parse_time
 from trellisq.operators.groups import whole_groups
 from trellisq.operators.references import bare
-from trellisq.operators.skew import screened, spread_join
+from trellisq.operators.skew import ROWS_PER_TASK, hot_keys, screened, spread_join
 from trellisq.session import written
 
 SWAY = 0.1
@@ -245,16 +245,26 @@ def pack(row_no: Column, period: Column, position: Column) -> Column:
     return row_no.cast("long") * CELLS + period.cast("long") * 8 + F.coalesce(position.cast("long") + 1, F.lit(0))
 
 
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """trip, home, seq, stop, row, times: of the blocks with very many rows one row per trip, sequence and stop."""
+    blocks = ["trip", "home"]
+    hot = hot_keys(written(rows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_PER_TASK)), blocks, "n")
+    if hot is None:
+        return rows
+    large = rows.join(F.broadcast(hot), blocks, "left_semi").groupBy(*blocks, "seq", "stop").agg(F.min("row").alias("first"), F.min_by("times", "row").alias("times"))
+    return rows.join(F.broadcast(hot), blocks, "left_anti").unionByName(large.withColumnRenamed("first", "row"))
+
+
 def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
     """source, value, code: dwell and run readings, and the hard cases (source ``h``).
 
     ``code`` packs row_no, month and quarter of the day (see :func:`pack`).
 
     Rows with a null or blank trip or stop or a null sequence are left out, then the
-    lowest row_no of each (trip, sequence) is kept: a combining aggregate on fixed-width
-    values leaves one row per stop of these, the window the first of them.  Trips are
-    cut into blocks of sequence numbers with a halo of three on each side, so that no
-    trip, however long, lies in one window as a whole.
+    lowest row_no of each (trip, sequence) is kept.  Trips are cut into blocks of sequence
+    numbers with a halo of three on each side, so that no trip, however long, lies in one
+    window as a whole; a block that still has very many rows has repeated ones, which a
+    combining aggregate takes away before the shuffle.
     """
     # what crosses the shuffles is packed: the row with its month, and both times
     time = lambda c: F.coalesce(parse_time(c), F.lit(_NO_TIME)).cast("long")
@@ -265,14 +275,14 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
         (F.col("row_no").cast("long") * 4096 + month_index("service_date")).alias("row"),
         (time("arrival_time") * (1 << 32) + F.pmod(time("departure_time"), F.lit(1 << 32))).alias("times"),
     ).where("trip is not null and stop is not null and seq is not null")
-    kept = rows.groupBy("trip", "seq", "stop").agg(F.min("row").alias("first"), F.min_by("times", "row").alias("times"))
     at = F.pmod("seq", F.lit(block))
     home = int_div(F.col("seq") - at, block).cast("int")
+    kept = _without_repeats(rows.withColumn("home", home)).drop("home")
     blocks = F.when(at < 3, F.array(home, home - 1)).when(at >= block - 3, F.array(home, home + 1)).otherwise(F.array(home))
     # sequence numbers start at 0 or 1: a halo before block 0 would serve no row
     blocks = F.when((home == 0) & (at < 3), F.array(home)).otherwise(blocks)
     spread = kept.withColumn("block", F.explode(blocks))
-    again = F.lag("seq").over(Window.partitionBy("trip", "block").orderBy("seq", "first")) == F.col("seq")
+    again = F.lag("seq").over(Window.partitionBy("trip", "block").orderBy("seq", "row")) == F.col("seq")
     arr, low = F.shiftright("times", 32), F.pmod("times", F.lit(1 << 32))
     dep = F.when(low < 1 << 31, low).otherwise(low - (1 << 32))
     spread = spread.withColumn("again", again).where(~F.coalesce("again", F.lit(False)))
@@ -282,8 +292,8 @@ def stop_time_readings(stop_times: DataFrame, block: int = 4096) -> DataFrame:
         "stop",
         "block",
         home.alias("home"),
-        F.shiftright("first", 12).alias("row_no"),
-        F.pmod("first", F.lit(4096)).alias("period"),
+        F.shiftright("row", 12).alias("row_no"),
+        F.pmod("row", F.lit(4096)).alias("period"),
         F.nullif(arr.cast("int"), F.lit(_NO_TIME)).alias("arr"),
         F.nullif(dep.cast("int"), F.lit(_NO_TIME)).alias("dep"),
     )
@@ -369,18 +379,30 @@ _SOFT = "source not in ('h', 'p')"
 def outlying_cells(readings: DataFrame, sway: float | None, least: int = LEAST) -> DataFrame:
     """source, value, cell (month and position), n, level, span, total, uses, residual, step, bound of the outlying cells.
 
-    Readings are counted by cell, combined before they are shuffled; the cells then meet
-    by source and are handled in arrays, many sources at a time.
+    Cells meet by source and are handled in arrays, many sources at a time.  Sources with
+    very many readings are counted by cell before, which leaves few rows of them; the
+    others go as they are.
     """
-    counts = readings.where(_SOFT).groupBy("source", "value", F.pmod("code", F.lit(CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    soft = readings.where(_SOFT).select("source", "value", F.pmod("code", F.lit(CELLS)).alias("cell"))
+    hot = hot_keys(written(soft.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROWS_PER_TASK)), ["source"], "n")
+    one = F.lit(1).cast("long").alias("n")
+    if hot is None:
+        counts = soft.select("*", one)
+    else:
+        large = soft.join(F.broadcast(hot), "source", "left_semi").groupBy("source", "value", "cell").agg(F.count(F.lit(1)).alias("n"))
+        counts = soft.join(F.broadcast(hot), "source", "left_anti").select("*", one).unionByName(large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in whole_groups(batches, 1, BATCH):
             value, cell, n = (t.column(k).to_numpy() for k in (1, 2, 3))
             got = outliers(Cells(g, value.astype(np.int64), cell >> 3, cell & 7, n), sway, least)
-            k = pa.array(got["index"].astype(np.int64))
-            own = [t.column(j).combine_chunks().take(k) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, _OUT)), *(pa.array(got[f.name].astype(f.type.to_pandas_dtype()), f.type) for f in list(_OUT)[4:])], schema=_OUT)
+            # one row per cell, whether its readings came counted or one by one
+            k = got.pop("index").astype(np.int64)
+            _, first, kind = np.unique(np.stack([g[k], value[k], cell[k]]), axis=1, return_index=True, return_inverse=True)
+            at = pa.array(k[first])
+            got = {c: x[first] for c, x in got.items()} | {"n": np.bincount(kind, n[k], len(first))}
+            own = [t.column(j).combine_chunks().take(at) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, _OUT)), *(pa.array(got[f.name].astype(f.type.to_pandas_dtype()), f.type) for f in list(_OUT)[3:])], schema=_OUT)
 
     ddl = "source string, value int, cell long, n long, level double, span double, total long, uses long, residual double, step long, bound double"
     return counts.repartition("source").sortWithinPartitions("source").mapInArrow(run, ddl)
