@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -69,8 +70,8 @@ def test_tables_agree(spark):
     assert rep.count() == len(nodes) * (len(nodes) - 1)
     assert {(r.source, r.node): r.dist for r in S.relax(e, G.vertices(e)).where("source <> node").collect()} == want
     pairs_df = rep.select("source", "target")
-    star = S.a_star_pairs(e, pairs_df, S.exact_remaining(e, nodes))
-    R.optimum_gate({"dijkstra": rep, "a_star": star})
+    star = S.a_star_pairs(e, pairs_df, S.EXACT)
+    R.optimum_gate({"dijkstra": rep, "a_star": star, "all": S.a_star_all(e, G.vertices(e), S.EXACT), "plain": S.a_star_all(e, G.vertices(e), S.no_heuristic)})
     with pytest.raises(AssertionError):
         R.optimum_gate({"dijkstra": rep, "other": rep.withColumn("optimum_weight", F.col("optimum_weight") + 1)})
     r = rep.where("proportion is not null").first()
@@ -163,6 +164,168 @@ def test_places(spark):
 
 
 def test_too_many_edges(spark, monkeypatch):
+    pairs = random_graph(1)
+    nodes, d = floyd(pairs)
+    e = G.edges(table(spark, pairs))
+    want = {(a, b): d[a, b] for a in nodes for b in nodes if a != b and d[a, b] < float("inf")}
+    rep = S.all_pairs(e, G.vertices(e), most=2).collect()
+    assert {(r.source, r.target): r.optimum_weight for r in rep} == want
+    exact = {(r.source, r.target): r for r in S.all_pairs(e, G.vertices(e)).where("optimum_weight is not null").collect()}
+    assert all(r.iterations >= exact[r.source, r.target].iterations and r.path is None for r in rep)
     monkeypatch.setattr(S, "MAX_BROADCAST_EDGES", 2)
+    assert S.adjacency(e) is None
     with pytest.raises(ValueError, match="relax"):
-        S.adjacency(G.edges(table(spark, random_graph(1))))
+        S.search_tree(e, nodes[0])
+
+
+def test_relaxation_merges_and_its_tree(spark):
+    pairs = {(f"n{i}", f"n{i + 1}"): 2 for i in range(12)} | {("n0", "n5"): 11, ("n3", "n9"): 1}
+    _, d = floyd(pairs)
+    e = G.edges(table(spark, pairs))
+    dist = S.relax(e, spark.createDataFrame([("n0",), ("n3",)], "id string"), merge_every=2)
+    got = {(r.source, r.node): r.dist for r in dist.collect()}
+    assert got == {(a, b): v for (a, b), v in d.items() if a in ("n0", "n3") and v < float("inf")}
+    parents = {(r.source, r.node): r.parent for r in S.shortest_tree(e, dist).collect()}
+    assert parents["n0", "n9"] == "n3" and parents["n0", "n5"] == "n4" and len(parents) == len(got) - 2
+
+
+# Small graphs (from: to weight, ...), source, target, shortest distance, edges, least and most
+# extractions of a cut search.
+TOYS = [
+    (
+        """a: v1 7, v2 8, v3 1
+v1: v6 4, v5 4
+v2: v1 6, v3 1, v5 3
+v3: v4 6, v5 2
+v4: v5 1, v9 2
+v5: v7 4, v8 5, v9 1
+v6: v5 1, v7 2
+v7: v8 4, b 4
+v8: b 1
+v9: v8 3, b 6""",
+        "a", "b", 8, 22, 9, 10,
+    ),
+    (
+        """v1: v2 4, v3 2, v4 3
+v2: v6 1
+v3: v5 1, v6 5
+v4: v5 2
+v5: v6 2, v9 4
+v6: v7 3, v8 2
+v8: v9 1""",
+        "v1", "v9", 7, 12, 7, 8,
+    ),
+    (
+        """v0: v1 4, v7 8
+v1: v0 4, v2 8, v7 11
+v2: v1 8, v3 7, v5 4, v8 2
+v3: v2 7, v4 9, v5 14
+v4: v3 9, v5 10
+v5: v2 4, v3 14, v4 10, v6 2
+v6: v5 2, v7 1, v8 6
+v7: v0 8, v1 11, v6 1, v8 7
+v8: v2 2, v6 6, v7 7""",
+        "v0", "v4", 21, 28, 9, 9,
+    ),
+    (
+        """A: B 3, C 1
+B: D 2, T 3
+C: D 1, R 4
+D: S 1
+E: H 4
+F: W 1
+G: F 5
+H: F 1, G 1, X 2
+I: K 1
+J: I 3, K 5, L 7
+K: L 1
+L: V 2
+M: N 7
+N: P 3
+O: U 3
+P: O 5, Q 2
+Q: A 2
+R: M 4
+S: F 1
+T: E 3
+U: J 1
+V: M 2
+W: I 1
+X: I 2""",
+        "A", "K", 7, 32, 11, 11,
+    ),
+]
+
+
+@pytest.mark.parametrize("text, s, t, best, edges, low, high", TOYS)
+def test_small_graphs(text, s, t, best, edges, low, high):
+    pairs = {(row.split(":")[0], to): int(w) for row in text.splitlines() for to, w in map(str.split, row.split(":")[1].split(","))}
+    nodes, d = floyd(pairs)
+    g = adjacency(pairs)
+    assert len(pairs) == edges
+    dist, parent, rank = S.dijkstra(g, s)
+    assert dist[t] == best and len(rank) == len(nodes) and low <= rank[t] <= high
+    p = S.path(parent, s, t)
+    assert sum(pairs[x] for x in zip(p, p[1:])) == best
+    h = S.exact_remaining(S.reversed_graph(g), t)
+    assert S.a_star(g, s, t, h)[0][t] == best and S.a_star(g, s, t, S.no_heuristic)[0][t] == best
+
+
+def test_hand_traced_a_star():
+    g = adjacency({("A", "B"): 1, ("A", "C"): 3, ("B", "C"): 1, ("B", "D"): 4, ("C", "D"): 1})
+    left = {"A": 3, "B": 2, "C": 1, "D": 0}
+    cost, up, n = S.a_star(g, "A", "D", lambda x, _: left[x])
+    assert (cost["D"], S.path(up, "A", "D"), n) == (3, ["A", "B", "C", "D"], 4)
+
+
+def test_bridges_colours_and_positions(spark):
+    pairs = spark.createDataFrame([("x2", "y1", "DB"), ("x2", "x1", "SB"), ("b", "x1", "CB"), ("x1", "b", "BC"), ("b", "c", "CC")], "source string, target string, case_ string")
+    branches = spark.createDataFrame([("X", 1, "x2"), ("X", 2, "x1"), ("Y", 1, "y1")], "branch string, pos int, stop_id string")
+    bridges = spark.createDataFrame([("X", "b"), ("Y", "c")], "branch string, bridge string")
+    got = sorted(map(tuple, G.bridge_highlights(pairs, branches, bridges).collect()))
+    assert got == [("b", "x1", "b"), ("x1", "b", "b"), ("x2", "x1", "b"), ("x2", "y1", "b"), ("x2", "y1", "c")]
+    paths = spark.createDataFrame([(["E.1", "1.1", "1.2", "E.2"],), (["1.1", "1.2"],)], "path array<string>")
+    assert [tuple(r) for r in paths.select(*G.path_ends()).collect()] == [("1.1", "1.2"), ("1.1", "1.2")]
+    xy = spark.createDataFrame([("1.1", 41.0, 2.0), ("1.2", 41.0, 2.0), ("E.1", 41.001, 2.0)], "stop_id string, stop_lat double, stop_lon double")
+    pos = G.spread_positions(xy)
+    at = {r.stop_id: (r.lat, r.lon) for r in pos.collect()}
+    assert at["1.1"] == (41.0, 2.0) and at["1.2"] != (41.0, 2.0) and at["E.1"] == (41.001, 2.0)
+    far = {r.stop_id: r.lat for r in G.amplified_entrances(pos, spark.createDataFrame([("1.1", "E.1")], "platform string, entrance string"), 10).collect()}
+    assert abs(far["E.1"] - 41.01) < 1e-9 and far["1.1"] == 41.0
+    assert [r[0] for r in pairs.select(G.choose("case_", {"SB": "red", "DB": "blue"}, "grey")).collect()] == ["blue", "red", "grey", "grey", "grey"]
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    """The published graph of 673 vertices, where TRELLISQ_GRAPH names its table (delimited, with header)."""
+    from trellisq.sources.gtfs import scan
+
+    place = os.environ.get("TRELLISQ_GRAPH")
+    if not place:
+        pytest.skip("TRELLISQ_GRAPH is not set")
+    return scan(spark, place, "weights")
+
+
+def test_published_graph(spark, published):
+    stats = {r.type: (r.arcs, r.pairs) for r in G.graph_stats(G.edges(published)).collect()}
+    assert stats == {"SW": (320, 160), "TF": (80, 40), "PW": (1019, 510), "ALL": (1419, 710)}
+    assert G.vertices(G.edges(published)).count() == 673
+    for left_out, vertices in (((), 673), (("PW",), 171)):
+        e = G.edges(published, left_out)
+        assert G.vertices(e).count() == vertices
+        platforms = G.vertices(e).where("id like '1.%'")
+        rep = S.all_pairs(e, platforms)
+        whole = rep.agg(F.count("optimum_weight").alias("n"), F.sum("optimum_weight").alias("s")).first()
+        assert (whole.n, whole.s) == (29070, 36902254)
+        star = S.a_star_all(e, platforms, S.EXACT)
+        R.optimum_gate({"dijkstra": rep, "a_star": star})
+        assert star.agg(F.avg("proportion")).first()[0] > 0.95
+    e = G.edges(published)
+    tree = {r.node: r for r in S.search_tree(e, "E.13002").collect()}
+    steps, at = 1, "E.11101"
+    while at != "E.13002":
+        at, steps = tree[at].parent, steps + 1
+    assert (tree["E.11101"].dist, steps) == (1842, 22)
+    cover, _, _ = G.entrance_maps(e)
+    served = cover.groupBy("entrance").count().groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    assert {r[0]: r[1] for r in served.collect()} == {1: 494, 2: 8}

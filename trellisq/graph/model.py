@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import flat_distance
@@ -92,6 +92,56 @@ def classify(pairs: DataFrame, branches: DataFrame, platforms: DataFrame) -> Dat
     return held.withColumn("case_", case)
 
 
+def path_ends(path: str = "path") -> tuple[Column, Column]:
+    """The platforms at the ends of a path: its first and last vertex, or the ones beside them where these are entrances."""
+    p, n = F.col(path), F.size(path)
+    first, last = F.get(p, F.lit(0)), F.get(p, n - 1)
+    return F.when(first.startswith("E."), F.get(p, F.lit(1))).otherwise(first), F.when(last.startswith("E."), F.get(p, n - 2)).otherwise(last)
+
+
+def bridge_highlights(pairs: DataFrame, branches: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Source, target, bridge: the bridges of the branches that a pair's case names, each once; no row for CC.
+
+    ``pairs`` has source and target platforms with case_ (:func:`classify`).
+    """
+    of = branches.select("stop_id", "branch").join(bridges, "branch").select("stop_id", "bridge")
+    sides = [(("BC", "SB", "DB"), "source"), (("CB", "SB", "DB"), "target")]
+    parts = [pairs.where(F.col("case_").isin(*cases)).join(of.withColumnRenamed("stop_id", c), c).select("source", "target", "bridge") for cases, c in sides]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def spread_positions(coordinates: DataFrame, degrees: float = 0.0001) -> DataFrame:
+    """stop_id, lat, lon: stops that share a place are set apart, the k-th by k steps at an angle of its own id.
+
+    The angle is a hash of the id, so a drawing is the same every time.
+    """
+    w = Window.partitionBy("stop_lat", "stop_lon").orderBy("stop_id")
+    k = F.row_number().over(w) - 1
+    angle = F.pmod(F.xxhash64("stop_id"), F.lit(360)) * (3.141592653589793 / 180)
+    return coordinates.select("stop_id", (F.col("stop_lat") + k * degrees * F.sin(angle)).alias("lat"), (F.col("stop_lon") + k * degrees * F.cos(angle)).alias("lon"))
+
+
+def amplified_entrances(positions: DataFrame, cover: DataFrame, times: float) -> DataFrame:
+    """stop_id, lat, lon: entrances moved away from the mean place of their platforms, ``times`` as far; other stops stay."""
+    place = positions.withColumnRenamed("stop_id", "platform").withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
+    mean = cover.join(place, "platform").groupBy(F.col("entrance").alias("stop_id")).agg(F.avg("p_lat").alias("p_lat"), F.avg("p_lon").alias("p_lon"))
+    away = lambda c: F.coalesce(F.col(f"p_{c}") + (F.col(c) - F.col(f"p_{c}")) * times, F.col(c)).alias(c)
+    return positions.join(mean, "stop_id", "left").select("stop_id", away("lat"), away("lon"))
+
+
+def choose(c: str | Column, palette: dict[str, str], default: str) -> Column:
+    """The colour of a region, type or kind."""
+    out = F.lit(default)
+    for k, v in palette.items():
+        out = F.when((F.col(c) if isinstance(c, str) else c) == k, v).otherwise(out)
+    return out
+
+
+def shared_vertices(ids: DataFrame, vertices: DataFrame) -> DataFrame:
+    """H4s: id of those that are vertices too."""
+    return ids.select("id").intersect(vertices.select("id"))
+
+
 def drawing_table(edges: DataFrame, lines: DataFrame, coordinates: DataFrame) -> DataFrame:
     """D16j, J34, I21: src, dst, weight, type, line, coordinates of both ends, width: what a drawing needs."""
     at = lambda c, k: coordinates.select(F.col("stop_id").alias(c), F.col("stop_lat").alias(f"{k}_lat"), F.col("stop_lon").alias(f"{k}_lon"))

@@ -1,8 +1,8 @@
 """Shortest paths: per-source Dijkstra, target-cut iterations, A* with heuristics, candidates.
 
 Two ways, by the size of the graph.  A graph of up to ``MAX_BROADCAST_EDGES`` edges is
-sent to the tasks once, and searches are spread over them by source; a larger graph is
-never gathered: distances are relaxed by joins, round by round, with the state written
+sent to the tasks once, and searches are spread over them; a larger graph is never
+gathered: distances are relaxed by joins, round by round, with what a round finds written
 to the shared folder (:func:`relax`).
 
 Extraction order is (priority, order of insertion), so that results do not depend on
@@ -14,25 +14,29 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellisq.graph.report import settle_bounds
 from trellisq.session import discard, written
 
 MAX_BROADCAST_EDGES = 1_000_000
+# Fixed value: seconds between an entrance and its platform.
 ENTRY_SECONDS = 60
 
 Adjacency = dict[str, list[tuple[str, int]]]
 Heuristic = Callable[[str, str], int | None]
 
 
-def adjacency(edges: DataFrame) -> Adjacency:
-    """The edges by source in id order; raises when the graph exceeds the size that may be sent to tasks."""
-    rows = edges.select("src", "dst", "weight").limit(MAX_BROADCAST_EDGES + 1).collect()
-    if len(rows) > MAX_BROADCAST_EDGES:
-        raise ValueError(f"more than {MAX_BROADCAST_EDGES} edges: use relax()")
+def adjacency(edges: DataFrame, most: int | None = None) -> Adjacency | None:
+    """The edges by source in id order; None where there are more than may be sent to tasks."""
+    most = most or MAX_BROADCAST_EDGES
+    rows = edges.select("src", "dst", "weight").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
     out: Adjacency = {}
     for a, b, w in sorted(rows):
         out.setdefault(a, []).append((b, w))
@@ -40,6 +44,14 @@ def adjacency(edges: DataFrame) -> Adjacency:
     return out
 
 
+def _sent(edges: DataFrame):
+    """The graph as a broadcast; raises where it may not be sent to tasks."""
+    graph = adjacency(edges)
+    if graph is None:
+        raise ValueError(f"more than {MAX_BROADCAST_EDGES} edges: use relax()")
+    return edges.sparkSession.sparkContext.broadcast(graph)
+
+
 def dijkstra(graph: Adjacency, source: str, stop_at: str | None = None, trace: list[tuple] | None = None) -> tuple[dict[str, int], dict[str, str | None], dict[str, int]]:
     """(distances, parents, settle rank from 1) from one source; ends when ``stop_at`` is settled.
 
@@ -123,27 +135,37 @@ REPORT = "source string, target string, iterations int, path_vertices int, optim
 _COLUMNS = ["source", "target", "iterations", "path_vertices", "optimum_weight", "proportion", "path"]
 
 
-def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def _ids(df: DataFrame, most: int | None = None) -> list[str] | None:
+    most = most or MAX_BROADCAST_EDGES
+    rows = df.select("id").distinct().limit(most + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= most else None
+
+
+def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The report of the target-cut search for every ordered pair of different nodes.
 
     A cut search does the same steps as a full one up to its target, so one full search
     per source gives all its targets: iterations are the target's settle rank.  Pairs
     that are not reached have nulls and the number of settled nodes as iterations.
     ``sources`` has id; ``targets`` (id) is the sources where not given.
+
+    With more than ``most`` edges or targets the distances come from :func:`relax`: then
+    pairs that are not reached are no rows, iterations are the most a cut search may take
+    (ties included), and path and path_vertices are null (see :func:`shortest_tree`).
     """
     spark = edges.sparkSession
-    graph = spark.sparkContext.broadcast(adjacency(edges))
-    ends = (targets or sources).select("id").distinct().limit(MAX_BROADCAST_EDGES + 1).collect()
-    if len(ends) > MAX_BROADCAST_EDGES:
-        raise ValueError(f"more than {MAX_BROADCAST_EDGES} targets: use relax()")
-    wanted = spark.sparkContext.broadcast(sorted(r[0] for r in ends))
+    graph, ends = adjacency(edges, most), _ids(targets or sources, most)
+    if graph is None or ends is None:
+        return _relaxed_pairs(edges, sources, targets or sources)
+    sent = spark.sparkContext.broadcast((graph, ends))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, ends = sent.value
         for b in batches:
             for s in b["id"]:
-                dist, parent, rank = dijkstra(graph.value, s)
+                dist, parent, rank = dijkstra(graph, s)
                 rows = []
-                for t in wanted.value:
+                for t in ends:
                     if t == s:
                         continue
                     p = path(parent, s, t)
@@ -154,22 +176,48 @@ def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
     return spread(sources.select("id").distinct(), "id").mapInPandas(run, REPORT)
 
 
+def _relaxed_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    dist = relax(edges, sources)
+    wanted = targets.select(F.col("id").alias("node")).distinct()
+    bounds = settle_bounds(dist).select("source", F.col("target").alias("node"), F.col("high").cast("int").alias("iterations"))
+    none = lambda t: F.lit(None).cast(t)
+    return (
+        dist.join(wanted, "node", "left_semi")
+        .join(bounds, ["source", "node"])
+        .select("source", F.col("node").alias("target"), "iterations", none("int").alias("path_vertices"), F.col("dist").alias("optimum_weight"), none("double").alias("proportion"), none("array<string>").alias("path"))
+    )
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Searches are heavy for their bytes: one partition per core, whatever the size of the table."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def search_tree(edges: DataFrame, source: str, stop_at: str | None = None) -> DataFrame:
-    """Node, dist, parent, settled_rank (null: reached, not settled) of one search."""
-    dist, parent, rank = dijkstra(adjacency(edges), source, stop_at)
-    return edges.sparkSession.createDataFrame([(n, d, parent[n], rank.get(n)) for n, d in dist.items()], "node string, dist long, parent string, settled_rank int")
+    """Node, dist, parent, settled_rank (null: reached, not settled) of one search, run in a task."""
+    sent = _sent(edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            dist, parent, rank = dijkstra(sent.value, source, stop_at)
+            rows = [(n, d, parent[n], rank.get(n)) for n, d in dist.items()]
+            yield pd.DataFrame(rows, columns=["node", "dist", "parent", "settled_rank"]).astype({"settled_rank": "Int32"})
+
+    return edges.sparkSession.range(1, numPartitions=1).mapInPandas(run, "node string, dist long, parent string, settled_rank int")
 
 
 def trace_table(edges: DataFrame, source: str, stop_at: str | None = None) -> DataFrame:
-    """Step, kind, iteration, node, dist, old, via of one search's log."""
-    log: list[tuple] = []
-    dijkstra(adjacency(edges), source, stop_at, log)
-    return edges.sparkSession.createDataFrame([(i + 1, *x) for i, x in enumerate(log)], "step int, kind string, iteration int, node string, dist long, old long, via string")
+    """Step, kind, iteration, node, dist, old, via of one search's log, run in a task."""
+    sent = _sent(edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            log: list[tuple] = []
+            dijkstra(sent.value, source, stop_at, log)
+            rows = [(i + 1, *x) for i, x in enumerate(log)]
+            yield pd.DataFrame(rows, columns=["step", "kind", "iteration", "node", "dist", "old", "via"]).astype({"old": "Int64"})
+
+    return edges.sparkSession.range(1, numPartitions=1).mapInPandas(run, "step int, kind string, iteration int, node string, dist long, old long, via string")
 
 
 @dataclass(frozen=True)
@@ -205,14 +253,23 @@ def straight_line(coordinates: dict[str, tuple[float, float]], v_max: float) ->
     return h
 
 
-def exact_remaining(edges: DataFrame, targets: list[str]) -> HeuristicTable:
-    """The true remaining cost, by one search on the reversed graph per target."""
-    graph = adjacency(edges)
-    back: Adjacency = {n: [] for n in graph}
-    for a, out in graph.items():
-        for b, w in out:
-            back[b].append((a, w))
-    return HeuristicTable({(n, t): d for t in targets for n, d in dijkstra(back, t)[0].items()})
+def reversed_graph(graph: Adjacency) -> Adjacency:
+    """Every edge the other way."""
+    out: Adjacency = {n: [] for n in graph}
+    for a, ends in graph.items():
+        for b, w in ends:
+            out[b].append((a, w))
+    return out
+
+
+def exact_remaining(back: Adjacency, target: str) -> Heuristic:
+    """The true remaining cost to one target, by one search on the reversed graph."""
+    left = dijkstra(back, target)[0]
+    return lambda node, _: left.get(node)
+
+
+#: Stands for :func:`exact_remaining`, built for each target by the task that has its pairs.
+EXACT = "exact"
 
 
 def region_aware(base: Heuristic, branch: dict[str, str], bridge: dict[str, str], depth_from: dict[str, int], depth_to: dict[str, int]) -> Heuristic:
@@ -256,21 +313,58 @@ def entry_cost(node: str) -> int:
     return ENTRY_SECONDS if node.startswith("E.") else 0
 
 
-def a_star_pairs(edges: DataFrame, pairs: DataFrame, heuristic: Heuristic) -> DataFrame:
-    """The report of an A* run for every pair (source, target)."""
-    spark = edges.sparkSession
-    graph = spark.sparkContext.broadcast(adjacency(edges))
+def _a_star_row(graph: Adjacency, s: str, t: str, h: Heuristic) -> tuple:
+    g, parent, n = a_star(graph, s, t, h)
+    p = path(parent, s, t)
+    return s, t, n, len(p) or None, g[t] if p else None, len(p) / n if p and n else None, p
+
+
+def a_star_pairs(edges: DataFrame, pairs: DataFrame, heuristic: Heuristic | str) -> DataFrame:
+    """The report of an A* run for every pair (source, target), under a heuristic or EXACT.
+
+    The pairs of a target go to a few tasks, in its order, so that each builds its exact
+    bounds once.
+    """
+    sent = _sent(edges)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = sent.value
+        back = reversed_graph(graph) if heuristic == EXACT else {}
+        held, h = None, heuristic
         for b in batches:
             rows = []
             for s, t in zip(b["source"], b["target"]):
-                g, parent, n = a_star(graph.value, s, t, heuristic)
-                p = path(parent, s, t)
-                rows.append((s, t, n, len(p) or None, g[t] if p else None, len(p) / n if p and n else None, p))
+                if heuristic == EXACT and t != held:
+                    held, h = t, exact_remaining(back, t)
+                rows.append(_a_star_row(graph, s, t, h))
             yield pd.DataFrame(rows, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
 
-    return pairs.select("source", "target").repartition(spark.sparkContext.defaultParallelism, "source", "target").mapInPandas(run, REPORT)
+    part = F.pmod(F.xxhash64("source"), F.lit(8))
+    spread_ = pairs.select("source", "target").repartition(edges.sparkSession.sparkContext.defaultParallelism, "target", part)
+    return spread_.sortWithinPartitions("target").mapInPandas(run, REPORT)
+
+
+def a_star_all(edges: DataFrame, ends: DataFrame, heuristic: Heuristic | str, sources: DataFrame | None = None) -> DataFrame:
+    """The report of an A* run for every ordered pair of different nodes, without a table of the pairs.
+
+    Targets are spread over tasks; the sources (``ends`` where not given) are sent to them.
+    """
+    sent = _sent(edges)
+    starts = _ids(sources or ends)
+    if starts is None:
+        raise ValueError(f"more than {MAX_BROADCAST_EDGES} sources: use a_star_pairs()")
+    from_ = edges.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = sent.value
+        back = reversed_graph(graph) if heuristic == EXACT else {}
+        for b in batches:
+            for t in b["id"]:
+                h = exact_remaining(back, t) if heuristic == EXACT else heuristic
+                rows = [_a_star_row(graph, s, t, h) for s in from_.value if s != t]
+                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
+
+    return spread(ends.select("id").distinct(), "id").mapInPandas(run, REPORT)
 
 
 def candidates(requests: DataFrame, out_of: DataFrame, into: DataFrame, without_entrances: bool) -> DataFrame:
@@ -348,25 +442,43 @@ def fix_entrances(df: DataFrame, special: DataFrame) -> DataFrame:
     return both.withColumn("path", head).select(df.columns)
 
 
-def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, merge_every: int = 8) -> DataFrame:
     """J9 at any size: source, node, dist: distances by rounds of relaxation over joined tables.
 
-    Only nodes whose distance fell in the last round send it on.  The state is written
-    to the shared folder every round, which also cuts the lineage; the round before is removed.
+    Only nodes whose distance fell in the last round send it on, and only what falls is
+    written; what is known is read for the nodes met, and merged into one table every
+    few rounds.  Everything written cuts the lineage and lies in the shared folder.
     """
-    best = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")).distinct())
+    keys = ["source", "node"]
+    fresh = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist")).distinct())
+    known = [fresh]
     step = edges.select(F.col("src").alias("node"), "dst", "weight")
-    for _ in range(most_rounds):
-        sent = best.where("fresh").join(step, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("dist"))
-        both = best.select("source", "node", "dist", F.lit(False).alias("new")).unionByName(sent.select("source", "node", "dist", F.lit(True).alias("new")))
-        least = both.groupBy("source", "node").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("old"))
-        last, best = best, written(least.select("source", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")))
-        discard(last)
-        if best.where("fresh").isEmpty():
-            return best.drop("fresh")
+    least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy(*keys).agg(F.min("dist").alias("dist"))
+    for k in range(1, most_rounds + 1):
+        sent = fresh.join(step, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("dist"))
+        met = reduce(DataFrame.unionByName, known).join(sent.select(*keys), keys, "left_semi")
+        old = met.groupBy(*keys).agg(F.min("dist").alias("old"))
+        fresh = written(sent.join(old, keys, "left").where(F.col("old").isNull() | (F.col("dist") < F.col("old"))).drop("old"))
+        if fresh.isEmpty():
+            return least(known)
+        known.append(fresh)
+        if k % merge_every == 0:
+            merged = written(least(known))
+            # the fresh rows are still sent on in the next round
+            for table in known[:-1]:
+                discard(table)
+            known = [merged]
     raise RuntimeError(f"no end after {most_rounds} rounds: is there a cycle of negative weight?")
 
 
+def shortest_tree(edges: DataFrame, distances: DataFrame) -> DataFrame:
+    """J17 at any size: source, node, parent of a shortest path to every node reached; the smallest parent of several."""
+    before = distances.select("source", F.col("node").alias("parent"), F.col("dist").alias("at"))
+    steps = before.join(edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "weight"), "parent")
+    tight = steps.join(distances, ["source", "node"]).where((F.col("at") + F.col("weight") == F.col("dist")) & (F.col("node") != F.col("source")))
+    return tight.groupBy("source", "node").agg(F.min("parent").alias("parent"))
+
+
 def distance_listing(tree: DataFrame, vertices: DataFrame, unreachable: bool = False) -> DataFrame:
     """Node, dist, final of a search tree by rising distance; ``final`` is false where the search was cut.
 

@@ -139,6 +139,18 @@ def same_name_transfers(stops: DataFrame, transfers: DataFrame) -> DataFrame:
     return sizes.join(present, "stop_name", "left").select("stop_name", "platforms", n.alias("pairs"), F.coalesce("present", F.lit(0)).alias("present")).withColumn("missing", F.col("pairs") - F.col("present")).where("missing > 0")
 
 
+def same_name_pairs(stops: DataFrame, transfers: DataFrame) -> DataFrame:
+    """L14, D13j: stop_name, u, v: for each name its first platform with every other one that has no transfer to it, in either order.
+
+    One row per platform at most; :func:`same_name_transfers` counts all pairs.
+    """
+    held = names(stops.where(F.col("stop_id").startswith("1."))).where("stop_name <> ''")
+    first = held.groupBy("stop_name").agg(F.min("stop_id").alias("u"))
+    pairs = held.join(first, "stop_name").where("stop_id <> u").select("stop_name", "u", F.col("stop_id").alias("v"))
+    both = transfers.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return pairs.join(both, ["u", "v"], "left_anti").select("stop_name", "u", "v")
+
+
 def equal_times_left(counts: DataFrame) -> DataFrame:
     """The (line, stop) that still have events with equal arrival and departure (verify mode of K6)."""
     return counts.where("equal > 0").select("line", "stop_id", "equal", "terminal", "total")

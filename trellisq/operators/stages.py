@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trellisq.functions.exprs import dotted_key, format_time, parse_time
 from trellisq.operators.timetable import bounds, consecutive, expected_pairs, transitions
+from trellisq.sources.gtfs import ranked_rows
 
 
 def network_filter(df: DataFrame, prefix: str = "2.", column: str | None = None) -> DataFrame:
@@ -23,9 +24,13 @@ def network_counts(df: DataFrame, prefix: str = "2.", column: str | None = None)
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"))
 
 
+# Fixed value: where a row without a sequence number is sorted to.
+NO_NUMBER = 10**9
+
+
 def natural_order(df: DataFrame, column: str, *then: str) -> list[Column]:
     """Sort keys of dotted ids by their numbers, then the given columns."""
-    return [*dotted_key(column), *map(F.col, then)]
+    return [*dotted_key(column), *(F.coalesce(c, F.lit(NO_NUMBER)) if c == "stop_sequence" else F.col(c) for c in then)]
 
 
 # K2, K3: duplicate trips ------------------------------------------------------------
@@ -70,6 +75,12 @@ def group_sizes(duplicates: DataFrame) -> DataFrame:
     return groups.groupBy("size").agg(F.count(F.lit(1)).alias("groups"), F.min("keep").alias("example"))
 
 
+def group_listing(duplicates: DataFrame) -> DataFrame:
+    """Place, keep, size: the groups by size, then by their members (the kept one is the smallest of its group and of no other)."""
+    groups = duplicates.groupBy("keep").agg((F.count(F.lit(1)) + 1).alias("size"))
+    return ranked_rows(groups, ["size", "keep"], "place").select("place", "keep", "size")
+
+
 def without(df: DataFrame, ids: DataFrame, key: str = "trip_id") -> DataFrame:
     """K3, D2j: the rows whose key is not among the given ones."""
     return df.join(ids.select(key).distinct(), key, "left_anti")
@@ -164,8 +175,15 @@ def door_seconds(counts: DataFrame, excluded: tuple[str, ...] = ("FM",)) -> Data
 
 
 def line_dwell(counts: DataFrame) -> DataFrame:
-    """Line, n, mean_seconds: dwell per line (no samples: n = 0 and null)."""
-    return counts.groupBy("line").agg(F.sum("dwell_n").alias("n"), (F.sum("dwell_sum") / F.nullif(F.sum("dwell_n"), F.lit(0))).alias("mean_seconds"))
+    """Line, n, mean_seconds, stdev_seconds: dwell per line (no samples: n = 0 and nulls; one: deviation 0).
+
+    Pooled from the stops' own means and deviations, around the line's mean.
+    """
+    per = counts.groupBy("line").agg(F.sum("dwell_n").alias("n"), (F.sum("dwell_sum") / F.nullif(F.sum("dwell_n"), F.lit(0))).alias("mean_seconds"))
+    off = counts.join(per.select("line", "mean_seconds"), "line").groupBy("line")
+    k, m = F.col("dwell_n"), F.col("dwell_mean") - F.col("mean_seconds")
+    squares = off.agg(F.sum((k - 1) * F.col("dwell_stdev") * F.col("dwell_stdev") + k * m * m).alias("squares"))
+    return per.join(squares, "line").select("line", "n", "mean_seconds", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).when(F.col("n") == 1, 0.0).alias("stdev_seconds"))
 
 
 def partial_dwell(counts: DataFrame) -> DataFrame:
@@ -232,7 +250,11 @@ def correspondences(shared: DataFrame) -> DataFrame:
     return a.join(b, "original_stop_id").where("i <> j").select("from_stop_id", "to_stop_id", "line_a", "line_b")
 
 
-def split_pathways(pathways: DataFrame, shared: DataFrame, seconds: int, caption: str = "Correspond\u00e8ncia") -> DataFrame:
+# Fixed value: how the signs of generated correspondences begin.
+CAPTION = "Correspondència"
+
+
+def split_pathways(pathways: DataFrame, shared: DataFrame, seconds: int, caption: str = CAPTION) -> DataFrame:
     """K8: pathways over the new ids, with the correspondences between a stop's lines."""
     fanned = split_pairs(pathways.withColumn("old", F.concat_ws("_", "from_stop_id", "to_stop_id")), shared)
     pair = F.concat_ws("_", "from_stop_id", "to_stop_id")

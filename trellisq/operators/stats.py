@@ -86,6 +86,22 @@ def hourly_range(samples: DataFrame, stats: DataFrame) -> DataFrame:
     return ranked(out, "range_pct").select("rank", *PAIR, "mean", "range", "range_pct", "min_hours", "min_mean", "max_hours", "max_mean", "bucket")
 
 
+def hourly_breakdown(samples: DataFrame, cv: DataFrame, ranges: DataFrame, k: int = 2, cv_limit: float = CV_LIMIT, range_limit: float = RANGE_LIMIT) -> DataFrame:
+    """Section, place, pair, hour and the hourly figures of the k edges that vary most, by cv and by hourly range.
+
+    Only edges beyond the limits count.  An edge of both sections has its hours under
+    ``cv``; under ``range`` it has one row without hours, and ``shown_at`` tells its place
+    under ``cv``.
+    """
+    placed = lambda df, metric, limit: top(df.where(F.col(metric) >= limit), metric, k).select(*PAIR, F.col("rank").alias("place"))
+    by_cv, by_range = placed(cv, "cv", cv_limit), placed(ranges, "range_pct", range_limit)
+    again = by_range.join(by_cv.withColumnRenamed("place", "shown_at"), PAIR, "left")
+    shown = by_cv.select(F.lit("cv").alias("section"), *PAIR, "place", F.lit(None).cast("int").alias("shown_at")).unionByName(again.select(F.lit("range").alias("section"), *PAIR, "place", "shown_at"))
+    edges = shown.where("shown_at is null")
+    hours = hourly(samples.join(F.broadcast(edges.select(*PAIR).distinct()), PAIR, "left_semi"))  # 2k edges at most
+    return edges.join(hours, PAIR).unionByName(shown.where("shown_at is not null"), allowMissingColumns=True)
+
+
 def dominance(door: DataFrame, run: DataFrame, share: float = DOMINANT_SHARE) -> DataFrame:
     """C14: pair, door_stdev, run_stdev, dominant: which side holds at least ``share`` of the summed deviation."""
     both = door.select(*PAIR, F.col("stdev").alias("door_stdev")).join(run.select(*PAIR, F.col("stdev").alias("run_stdev")), PAIR)

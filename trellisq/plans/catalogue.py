@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trellisq.functions import exprs
 from trellisq.graph import model, report, search
-from trellisq.operators import checks, stages, stats
+from trellisq.operators import checks, labels, stages, stats
 from trellisq.operators import timetable as tt
 from trellisq.plans.problems import _BLANKS, _SECONDS
 from trellisq.session import written
@@ -115,6 +115,15 @@ def _wrap(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) - ({a}) < 0 THEN ((({b}) - ({a})) % 86400 + 86400) % 86400 ELSE ({b}) - ({a}) END)"
 
 
+def _labelled(x: str, bounds: tuple[tuple[float | None, str], ...]) -> str:
+    """SQL for the label of the first bound above x."""
+    return "CASE " + " ".join(f"WHEN {x} < {limit} THEN '{label}'" for limit, label in bounds[:-1]) + f" ELSE '{bounds[-1][1]}' END"
+
+
+def _every(bounds: tuple[tuple[float | None, str], ...]) -> str:
+    return "unnest([" + ", ".join(f"'{label}'" for _, label in bounds) + "])"
+
+
 _T = lambda c: f"trim({c}, {_BLANKS})"
 _STAT = "count(v) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS stdev, CAST(median(v) AS DOUBLE) AS median"
 _HALF_UP = "(2 * sum(total) + count(total)) // (2 * count(total))"
@@ -141,11 +150,11 @@ _PARTS = {
     "st_total": f"SELECT line, direction, a, b, count(total) AS n, avg(total) AS mean, coalesce(stddev_samp(total), 0) AS stdev, CAST(median(total) AS DOUBLE) AS median FROM tx WHERE total IS NOT NULL GROUP BY ALL",
     "st_door": "SELECT line, direction, a, b, count(door) AS n, avg(door) AS mean, coalesce(stddev_samp(door), 0) AS stdev FROM tx WHERE door IS NOT NULL GROUP BY ALL",
     "st_run": "SELECT line, direction, a, b, count(run) AS n, avg(run) AS mean, coalesce(stddev_samp(run), 0) AS stdev FROM tx WHERE run IS NOT NULL GROUP BY ALL",
-    "cv": "SELECT *, stdev / mean AS cv, CASE WHEN stdev / mean < 0.05 THEN 'extremely stable' WHEN stdev / mean < 0.10 THEN 'stable' WHEN stdev / mean < 0.15 THEN 'acceptable' ELSE 'unstable' END AS bucket FROM st_total WHERE mean > 0",
+    "cv": "SELECT *, stdev / mean AS cv, " + _labelled("stdev / mean", stats.CV_BUCKETS) + " AS bucket FROM st_total WHERE mean > 0",
     "hm": "SELECT line, direction, a, b, hour, sum(door + run) / count(*) AS m FROM tx WHERE door IS NOT NULL AND run IS NOT NULL GROUP BY ALL",
     "he": "SELECT *, min(m) OVER w AS lo, max(m) OVER w AS hi FROM hm WINDOW w AS (PARTITION BY line, direction, a, b)",
-    "hr": """SELECT line, direction, a, b, mean, hi - lo AS range, (hi - lo) / mean AS range_pct, min_hours, lo AS min_mean, max_hours, hi AS max_mean,
-      CASE WHEN (hi - lo) / mean < 0.05 THEN 'static weight is excellent' WHEN (hi - lo) / mean < 0.15 THEN 'static weight still reasonable' ELSE 'time-dependent routing would help' END AS bucket
+    "hr": f"""SELECT line, direction, a, b, mean, hi - lo AS range, (hi - lo) / mean AS range_pct, min_hours, lo AS min_mean, max_hours, hi AS max_mean,
+      {_labelled("(hi - lo) / mean", stats.RANGE_BUCKETS)} AS bucket
       FROM (SELECT line, direction, a, b, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS hours, string_agg(hour, ',' ORDER BY hour) FILTER (m = lo) AS min_hours, string_agg(hour, ',' ORDER BY hour) FILTER (m = hi) AS max_hours FROM he GROUP BY ALL)
       JOIN st_total USING (line, direction, a, b) WHERE hours >= 2 AND mean > 0""",
     "viol": """SELECT trip_id, stop_id AS stop_a, next_stop AS stop_b, seq AS seq_a, next_seq AS seq_b
@@ -245,9 +254,13 @@ def partial_dwell(t: Tables) -> DataFrame:
     return r6(stages.partial_dwell(stages.dwell_counts(t.ev, t.tr)), "dwell_mean", "dwell_stdev")
 
 
-@query(cte("dw") + "SELECT line, CAST(sum(dwell_n) AS BIGINT) AS n, round(sum(dwell_sum) / nullif(sum(dwell_n), 0), 6) AS mean_seconds FROM dw GROUP BY line")
+@query(
+    cte("held")
+    + f"""SELECT line, count(d) AS n, round(avg(d), 6) AS mean_seconds, CASE WHEN count(d) > 0 THEN round(coalesce(stddev_samp(d), 0), 6) END AS stdev_seconds
+FROM (SELECT line, CASE WHEN arrival_time <> departure_time AND {_SECONDS('departure_time')} >= {_SECONDS('arrival_time')} THEN {_SECONDS('departure_time')} - {_SECONDS('arrival_time')} END AS d FROM held WHERE line IS NOT NULL AND arrival_time <> '' AND departure_time <> '') GROUP BY line"""
+)
 def line_dwell(t: Tables) -> DataFrame:
-    return r6(stages.line_dwell(stages.dwell_counts(t.ev, t.tr)), "mean_seconds")
+    return r6(stages.line_dwell(stages.dwell_counts(t.ev, t.tr)), "mean_seconds", "stdev_seconds")
 
 
 @query(
@@ -280,7 +293,7 @@ SELECT CASE WHEN nf IS NOT NULL OR nt IS NOT NULL THEN 'PW.' || concat_ws('_', c
 UNION ALL SELECT 'PW.' || p.new_stop_id || '_' || q.new_stop_id, p.new_stop_id, q.new_stop_id FROM sh p JOIN sh q ON p.original_stop_id = q.original_stop_id AND p.idx <> q.idx"""
 )
 def split_pathways(t: Tables) -> DataFrame:
-    return stages.split_pathways(t.pw, stages.shared_stops(t.rs, t.order), 15).select("pathway_id", "from_stop_id", "to_stop_id")
+    return stages.split_pathways(t.pw, stages.shared_stops(t.rs, t.order), CORRESPONDENCE_SECONDS).select("pathway_id", "from_stop_id", "to_stop_id")
 
 
 @query(cte("ev", "tr", "sh") + "SELECT row_no, coalesce(new_stop_id, ev.stop_id) AS stop_id FROM ev LEFT JOIN tr USING (trip_id) LEFT JOIN sh ON original_stop_id = ev.stop_id AND sh.line = tr.line")
@@ -333,7 +346,7 @@ def cv_ranking(t: Tables) -> DataFrame:
     return r6(stats.cv_ranking(stats.pair_stats(t.tx)), "mean", "stdev", "cv")
 
 
-@query(cte("cv") + ", l AS (SELECT unnest(['extremely stable', 'stable', 'acceptable', 'unstable']) AS bucket) SELECT l.bucket, count(cv) AS n, round(count(cv) * 100.0 / sum(count(cv)) OVER (), 6) AS pct FROM l LEFT JOIN cv USING (bucket) GROUP BY l.bucket")
+@query(cte("cv") + ", l AS (SELECT " + _every(stats.CV_BUCKETS) + " AS bucket) SELECT l.bucket, count(cv) AS n, round(count(cv) * 100.0 / sum(count(cv)) OVER (), 6) AS pct FROM l LEFT JOIN cv USING (bucket) GROUP BY l.bucket")
 def cv_buckets(t: Tables) -> DataFrame:
     return r6(stats.bucket_counts(stats.cv_ranking(stats.pair_stats(t.tx)), stats.CV_BUCKETS), "pct")
 
@@ -352,7 +365,7 @@ def hourly_range(t: Tables) -> DataFrame:
     return r6(stats.hourly_range(tx, stats.pair_stats(tx)), "mean", "range", "range_pct", "min_mean", "max_mean")
 
 
-@query(cte("hr") + ", l AS (SELECT unnest(['static weight is excellent', 'static weight still reasonable', 'time-dependent routing would help']) AS bucket) SELECT l.bucket, count(range_pct) AS n, round(count(range_pct) * 100.0 / sum(count(range_pct)) OVER (), 6) AS pct FROM l LEFT JOIN hr USING (bucket) GROUP BY l.bucket")
+@query(cte("hr") + ", l AS (SELECT " + _every(stats.RANGE_BUCKETS) + " AS bucket) SELECT l.bucket, count(range_pct) AS n, round(count(range_pct) * 100.0 / sum(count(range_pct)) OVER (), 6) AS pct FROM l LEFT JOIN hr USING (bucket) GROUP BY l.bucket")
 def range_buckets(t: Tables) -> DataFrame:
     tx = t.tx
     return r6(stats.bucket_counts(stats.hourly_range(tx, stats.pair_stats(tx)), stats.RANGE_BUCKETS), "pct")
@@ -549,7 +562,7 @@ def _nations(t: Tables) -> DataFrame:
         .join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .where(F.col("s_nationkey") != F.col("c_nationkey"))
     )
-    return rows.groupBy(F.col("s_nationkey").cast("string").alias("src"), F.col("c_nationkey").cast("string").alias("dst")).agg(exprs.half_up_mean(F.col("l_quantity").cast("long")).alias("weight"))
+    return written(rows.groupBy(F.col("s_nationkey").cast("string").alias("src"), F.col("c_nationkey").cast("string").alias("dst")).agg(exprs.half_up_mean(F.col("l_quantity").cast("long")).alias("weight")))
 
 
 _NATION = _RELAX.format(
@@ -575,15 +588,45 @@ def settle_bounds(t: Tables) -> DataFrame:
 
 @query(_NATION + "SELECT source, node AS target, dist AS optimum_weight FROM d WHERE source <> node")
 def a_star_weights(t: Tables) -> DataFrame:
+    e = _nations(t)
+    return search.a_star_all(e, model.vertices(e), search.EXACT).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+
+
+_PLANTED = (
+    _RELAX.format(
+        parts=cte("ng").removeprefix("WITH ")
+        + """, ne AS (SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst, w AS weight FROM ng),
+nf AS (SELECT src, dst, weight + CASE WHEN src = '5' THEN 7 ELSE 0 END AS weight FROM ne WHERE dst <> '3')""",
+        start="src, src, CAST(0 AS BIGINT) FROM (SELECT src FROM ne UNION SELECT dst FROM ne)",
+        edges="ne",
+    ).rstrip()
+    + """,
+c(source, node, dist) USING KEY (source, node) AS (
+  SELECT src, src, CAST(0 AS BIGINT) FROM (SELECT src FROM ne UNION SELECT dst FROM ne)
+  UNION SELECT c.source, e.dst, min(c.dist + e.weight) FROM c JOIN nf e ON e.src = c.node LEFT JOIN recurring.c AS r ON r.source = c.source AND r.node = e.dst
+  WHERE c.dist + e.weight < coalesce(r.dist, 1000000000000) GROUP BY c.source, e.dst)
+"""
+)
+
+
+@query(
+    _PLANTED
+    + """SELECT coalesce(d.source, c.source) AS source, coalesce(d.node, c.node) AS target, CASE WHEN d.dist IS NULL OR c.dist IS NULL THEN 'reachability' ELSE 'weight' END AS mismatch, d.dist AS w_dijkstra, c.dist AS w_changed
+FROM (SELECT * FROM d WHERE source <> node) d FULL JOIN (SELECT * FROM c WHERE source <> node) c ON c.source = d.source AND c.node = d.node WHERE d.dist IS DISTINCT FROM c.dist"""
+)
+def planted_mismatches(t: Tables) -> DataFrame:
+    """The report of the searches against one by relaxation over a changed graph: no edge into one nation, seven more on each out of another."""
     e = _nations(t)
     v = model.vertices(e)
-    pairs = v.select(F.col("id").alias("source")).crossJoin(v.select(F.col("id").alias("target"))).where("source <> target")  # 25 nations
-    h = search.exact_remaining(e, [r[0] for r in v.collect()])
-    return search.a_star_pairs(e, pairs, h).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+    changed = e.where("dst <> '3'").withColumn("weight", F.col("weight") + F.when(F.col("src") == "5", 7).otherwise(0))
+    a = search.all_pairs(e, v).select("source", "target", F.col("optimum_weight").alias("weight"))
+    b = search.relax(changed, v).where("source <> node").select("source", F.col("node").alias("target"), F.col("dist").alias("weight"))
+    return checks.weight_mismatches({"dijkstra": a.where("weight is not null"), "changed": b})
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS mismatch, CAST(NULL AS BIGINT) AS w_dijkstra, CAST(NULL AS BIGINT) AS w_relax WHERE false")
+@query()
 def search_mismatches(t: Tables) -> DataFrame:
+    """The pairs on which searches and relaxation disagree: none; planted_mismatches holds the comparison to SQL."""
     e = _nations(t)
     v = model.vertices(e)
     a = search.all_pairs(e, v).select("source", "target", F.col("optimum_weight").alias("weight"))
@@ -591,14 +634,186 @@ def search_mismatches(t: Tables) -> DataFrame:
     return checks.weight_mismatches({"dijkstra": a.where("weight is not null"), "relax": b})
 
 
-@query()
-def entrance_routes(t: Tables) -> DataFrame:
-    """Each entrance to the first one by id, on the graph without entrances."""
-    e = model.edges(t.weights)
+def _entrance_routes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The edges, and each entrance to the first one by id, on the graph without entrances."""
+    e = written(model.edges(t.weights))
     _, out, back = model.entrance_maps(e)
     ids = out.select("entrance").union(back.select("entrance")).distinct()
     asked = ids.select(F.col("entrance").alias("source")).crossJoin(ids.agg(F.min("entrance").alias("target"))).where("source <> target")  # one row on the right
-    return search.routes(e.where("type <> 'PW'"), asked, back, out, without_entrances=True).withColumn("path", F.array_join("path", " -> "))
+    return e, search.routes(e.where("type <> 'PW'"), asked, back, out, without_entrances=True)
+
+
+@query(
+    _RELAX.format(
+        parts=cte("ed").removeprefix("WITH ")
+        + """, ids AS (SELECT dst AS id FROM ew WHERE dst LIKE 'E.%' UNION SELECT src FROM ew WHERE src LIKE 'E.%'), goal AS (SELECT min(id) AS t FROM ids), back AS (SELECT dst AS src, src AS dst, weight FROM sw)""",
+        start="src, src, CAST(0 AS BIGINT) FROM ew JOIN goal ON dst = t",
+        edges="back",
+    )
+    + """, best AS (SELECT w.src AS id, count(*) AS n, min(dist) AS dist FROM ew w LEFT JOIN d ON d.node = w.dst WHERE w.src LIKE 'E.%' GROUP BY 1)
+SELECT id AS source, t AS target, CASE WHEN n IS NULL OR NOT EXISTS (SELECT 1 FROM ew WHERE dst = t) THEN 'no_pathway' WHEN dist IS NULL THEN 'unreachable' ELSE 'ok' END AS status, dist + 120 AS weight FROM ids JOIN goal ON id <> t LEFT JOIN best USING (id)"""
+)
+def entrance_routes(t: Tables) -> DataFrame:
+    return _entrance_routes(t)[1].select("source", "target", "status", "weight")
+
+
+@query()
+def entrance_paths(t: Tables) -> DataFrame:
+    """The paths of entrance_routes (ties leave a choice, so without SQL)."""
+    return _entrance_routes(t)[1].select("source", "target", F.array_join("path", " -> ").alias("path"), "iterations")
+
+
+_PLATFORM_PAIRS = _RELAX.format(parts=cte("ed", "vx").removeprefix("WITH "), start="id, id, CAST(0 AS BIGINT) FROM vx WHERE id LIKE '1.%'", edges="ed")
+
+
+@query(_PLATFORM_PAIRS + "SELECT source, node AS target, dist AS optimum_weight FROM d WHERE source <> node AND node LIKE '1.%'")
+def platform_pairs(t: Tables) -> DataFrame:
+    """The report of all ordered pairs of platforms of the timetable graph, those that are reached."""
+    e = written(model.edges(t.weights))
+    return search.all_pairs(e, model.vertices(e).where("id like '1.%'")).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+
+
+@query(_PLATFORM_PAIRS + "SELECT source, node AS target, dist AS optimum_weight FROM d WHERE source <> node AND node LIKE '1.%'")
+def platform_pairs_a_star(t: Tables) -> DataFrame:
+    """The same by A* under the exact heuristic."""
+    e = written(model.edges(t.weights))
+    return search.a_star_all(e, model.vertices(e).where("id like '1.%'"), search.EXACT).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+
+
+# --- the graph over split platforms, with transfers ---------------------------------
+
+CORRESPONDENCE_SECONDS = 15
+
+
+def _combined(t: Tables) -> DataFrame:
+    """Train, transfer and entrance edges over the ids of shared platforms; the tables have no transfers but the generated ones."""
+    rs, order = t.rs, t.order
+    shared = stages.shared_stops(rs, order)
+    new = shared.select(F.col("original_stop_id").alias("stop_id"), "line", "new_stop_id")
+    split_rs = rs.join(new, ["stop_id", "line"], "left").select("line", "pos", F.coalesce("new_stop_id", "stop_id").alias("stop_id"))
+    sw = stages.edge_weights(stages.split_events(t.ev, t.tr, shared), t.gr, split_rs, order)
+    none = t.spark.createDataFrame([], "from_stop_id string, to_stop_id string, transfer_type int, min_transfer_time int")
+    tf = stages.split_transfers(none, shared, CORRESPONDENCE_SECONDS)
+    pw = stages.split_pairs(stages.entrance_edges(t.pw.where("traversal_time > 0")), shared)
+    pw = pw.groupBy("from_stop_id", "to_stop_id").agg(F.min("weight_seconds").alias("weight_seconds"))
+    return model.edges(stages.combined_weights(sw, tf, pw))
+
+
+_SPLIT = (
+    cte("tx", "sh", "ew")
+    + f""", cs AS (SELECT coalesce(x.new_stop_id, a) AS src, coalesce(y.new_stop_id, b) AS dst, CAST({_HALF_UP} AS BIGINT) AS weight, 'SW' AS type
+  FROM tx LEFT JOIN sh x ON x.original_stop_id = a AND x.line = tx.line LEFT JOIN sh y ON y.original_stop_id = b AND y.line = tx.line WHERE total IS NOT NULL GROUP BY 1, 2),
+ct AS (SELECT p.new_stop_id AS src, q.new_stop_id AS dst, CAST({CORRESPONDENCE_SECONDS} AS BIGINT) AS weight, 'TF' AS type FROM sh p JOIN sh q ON p.original_stop_id = q.original_stop_id AND p.idx <> q.idx),
+cp AS (SELECT coalesce(x.new_stop_id, src) AS src, coalesce(y.new_stop_id, dst) AS dst, min(weight) AS weight, 'PW' AS type FROM ew LEFT JOIN sh x ON x.original_stop_id = src LEFT JOIN sh y ON y.original_stop_id = dst GROUP BY 1, 2),
+ce AS (SELECT * FROM cs UNION ALL SELECT * FROM ct UNION ALL SELECT * FROM cp)
+"""
+)
+
+
+@query(_SPLIT + "SELECT src, dst, weight, type FROM ce")
+def combined_edges(t: Tables) -> DataFrame:
+    return _combined(t)
+
+
+@query(_SPLIT + "SELECT coalesce(type, 'ALL') AS type, count(*) AS arcs, count(DISTINCT (least(src, dst), greatest(src, dst))) AS pairs FROM ce GROUP BY ROLLUP (type)")
+def combined_stats(t: Tables) -> DataFrame:
+    return model.graph_stats(_combined(t))
+
+
+@query(_SPLIT + "SELECT new_stop_id AS id FROM sh INTERSECT (SELECT src FROM ce UNION SELECT dst FROM ce)")
+def split_vertices(t: Tables) -> DataFrame:
+    return model.shared_vertices(stages.shared_stops(t.rs, t.order).select(F.col("new_stop_id").alias("id")), model.vertices(_combined(t)))
+
+
+# --- labels and listings ------------------------------------------------------------
+
+_LABELS = (
+    cte("nm", "cov", "rs", "lo")
+    + """, sl AS (SELECT DISTINCT stop_id, line, line_ord FROM rs JOIN lo USING (line)),
+jl AS (SELECT stop_id, string_agg(line, '-' ORDER BY line_ord) AS lines FROM sl GROUP BY 1),
+pl_label AS (SELECT nm.stop_id, concat_ws('-', lines, coalesce(stop_name, '(no name)')) AS label FROM nm LEFT JOIN jl USING (stop_id)),
+sv AS (SELECT entrance, platform, coalesce(stop_name, '(no name)') AS name FROM cov LEFT JOIN nm ON nm.stop_id = platform),
+sz AS (SELECT entrance, name, count(*) AS n, min(platform) AS first FROM sv GROUP BY ALL),
+mt AS (SELECT entrance, name, line, min((platform, line_ord)) AS seen FROM sv JOIN sl ON sl.stop_id = platform GROUP BY ALL),
+ml AS (SELECT entrance, name, string_agg(line, '/' ORDER BY seen) AS merged, string_agg(line, '-' ORDER BY seen) AS plain FROM mt GROUP BY ALL),
+el AS (SELECT entrance, string_agg(concat_ws('-', CASE WHEN n > 1 THEN merged ELSE plain END, name), ' / ' ORDER BY first) AS parts FROM sz LEFT JOIN ml USING (entrance, name) GROUP BY 1),
+en_label AS (SELECT entrance AS stop_id, coalesce(stop_name, '(no name)') || ' -- ' || parts AS label FROM el LEFT JOIN nm ON nm.stop_id = entrance),
+node AS (SELECT * FROM en_label UNION ALL SELECT * FROM pl_label WHERE stop_id NOT IN (SELECT stop_id FROM en_label))
+"""
+)
+
+
+@query(_LABELS + "SELECT stop_id, label FROM pl_label")
+def stop_labels(t: Tables) -> DataFrame:
+    return labels.stop_labels(names(t.stops), t.rs, t.order)
+
+
+@query(_LABELS + "SELECT stop_id, label FROM en_label")
+def entrance_labels(t: Tables) -> DataFrame:
+    return labels.entrance_labels(names(t.stops), checks.coverage(t.pathways), t.rs, t.order)
+
+
+@query(_LABELS + "SELECT stop_id, label, ' (' || label || repeat(' ', max(length(label)) OVER () - length(label)) || ')' AS padded FROM node")
+def node_labels(t: Tables) -> DataFrame:
+    return labels.node_labels(names(t.stops), checks.coverage(t.pathways), t.rs, t.order)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_dotted('trip_id')}, coalesce(stop_sequence, 1000000000), row_no) AS place, row_no FROM (SELECT {_T('trip_id')} AS trip_id, stop_sequence, row_no FROM stop_times WHERE {_T('trip_id')} <> '')")
+def natural_stop_times(t: Tables) -> DataFrame:
+    rows = t.stop_times.select(tt.bare("trip_id").alias("trip_id"), "stop_sequence", "row_no").where("trip_id is not null")
+    return ranked_rows(rows, stages.natural_order(rows, "trip_id", "stop_sequence", "row_no"), "place").select("place", "row_no")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_dotted('route_id')}, coalesce(CAST(direction_id AS VARCHAR), ''), {_dotted('trip_id')}, row_no) AS place, row_no FROM (SELECT {_T('route_id')} AS route_id, {_T('trip_id')} AS trip_id, direction_id, row_no FROM trips WHERE {_T('trip_id')} <> '' AND {_T('route_id')} <> '')")
+def natural_trips(t: Tables) -> DataFrame:
+    rows = t.trips.select(tt.bare("route_id").alias("route_id"), tt.bare("trip_id").alias("trip_id"), F.coalesce(F.col("direction_id").cast("string"), F.lit("")).alias("direction"), "row_no").where("trip_id is not null and route_id is not null")
+    return ranked_rows(rows, [*stages.natural_order(rows, "route_id", "direction"), *stages.natural_order(rows, "trip_id", "row_no")], "place").select("place", "row_no")
+
+
+@query(cte("ev") + _SIG.format(x="concat_ws('|', seq, stop_id)") + "SELECT row_number() OVER (ORDER BY size, keep) AS place, keep, size FROM (SELECT keep, count(*) + 1 AS size FROM dup GROUP BY keep)")
+def group_listing(t: Tables) -> DataFrame:
+    return stages.group_listing(stages.duplicate_trips(t.ev, ("seq", "stop_id")))
+
+
+@query(cte("cv", "hr", "lo") + f", {_FLAGGED} SELECT row_number() OVER (ORDER BY line_ord, direction, a, b) AS place, line, direction, a, b, reasons FROM flagged JOIN lo USING (line)")
+def flagged_listing(t: Tables) -> DataFrame:
+    held = _flagged(t)[1].join(t.order, "line")
+    return ranked_rows(held, ["line_ord", "direction", "a", "b"], "place").select("place", "line", "direction", "a", "b", "reasons")
+
+
+@query("SELECT row_number() OVER (ORDER BY table_name, field_name, key) AS place, * FROM (" + ORACLE["missing_keys"] + ")")
+def missing_key_listing(t: Tables) -> DataFrame:
+    found = checks.foreign_keys({n: getattr(t, n) for n in ("stop_times", "stops", "trips", "pathways", "routes")}, LINKS)
+    return ranked_rows(found, ["table_name", "field_name", "key"], "place").select("place", "table_name", "field_name", "key")
+
+
+@query(
+    cte("cv", "hr")
+    + f""", c AS (SELECT *, row_number() OVER (ORDER BY cv DESC, line, direction, a, b) AS place FROM cv QUALIFY cv >= 0.15 AND row_number() OVER (ORDER BY CASE WHEN cv >= 0.15 THEN 0 ELSE 1 END, cv DESC, line, direction, a, b) <= 2),
+r AS (SELECT *, row_number() OVER (ORDER BY range_pct DESC, line, direction, a, b) AS place FROM hr QUALIFY range_pct >= 0.15 AND row_number() OVER (ORDER BY CASE WHEN range_pct >= 0.15 THEN 0 ELSE 1 END, range_pct DESC, line, direction, a, b) <= 2),
+s AS (SELECT 'cv' AS section, line, direction, a, b, place, CAST(NULL AS BIGINT) AS shown_at FROM c UNION ALL SELECT 'range', r.line, r.direction, r.a, r.b, r.place, c.place FROM r LEFT JOIN c ON c.line = r.line AND c.direction = r.direction AND c.a = r.a AND c.b = r.b),
+h AS (SELECT line, direction, a, b, hour, count(*) AS n, {_HOURLY} FROM (SELECT line, direction, a, b, hour, door, run, door + run AS total FROM tx WHERE door IS NOT NULL AND run IS NOT NULL) GROUP BY line, direction, a, b, hour)
+SELECT s.*, h.* EXCLUDE (line, direction, a, b) FROM s LEFT JOIN h ON shown_at IS NULL AND h.line = s.line AND h.direction = s.direction AND h.a = s.a AND h.b = s.b"""
+)
+def hourly_breakdown(t: Tables) -> DataFrame:
+    tx = t.tx
+    pairs = stats.pair_stats(tx)
+    out = stats.hourly_breakdown(tx, stats.cv_ranking(pairs), stats.hourly_range(tx, pairs))
+    return r6(out, *(f"{c}_{s}" for c in ("total", "door", "run") for s in ("mean", "stdev")))
+
+
+@query(
+    cte("nm", "fp")
+    + """, n AS (SELECT * FROM nm WHERE stop_id LIKE '1.%' AND stop_name <> ''), f AS (SELECT stop_name, min(stop_id) AS u FROM n GROUP BY 1), p AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM fp)
+SELECT stop_name, u, stop_id AS v FROM n JOIN f USING (stop_name) WHERE stop_id <> u AND (u, stop_id) NOT IN (SELECT a, b FROM p)"""
+)
+def same_name_pairs(t: Tables) -> DataFrame:
+    return checks.same_name_pairs(t.stops, tt.forward_pairs(t.rs))
+
+
+@query(cte("dw") + "SELECT line, stop_id, equal, terminal, total FROM dw WHERE equal > 0")
+def equal_times_left(t: Tables) -> DataFrame:
+    return checks.equal_times_left(stages.dwell_counts(t.ev, t.tr))
 
 
 # --- scalar functions ---------------------------------------------------------------
