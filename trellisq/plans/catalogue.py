@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 class Tables:
-    """The tables of one folder and what is derived from them."""
+    """The tables of one folder and what is derived from them, each derived once."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -42,30 +42,36 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
-    @property
+    @cached_property
     def ev(self) -> DataFrame:
         return tt.clean_stop_times(self.stop_times)
 
-    @property
+    @cached_property
     def tr(self) -> DataFrame:
         return tt.clean_trips(self.trips)
 
-    @property
+    @cached_property
     def gr(self) -> DataFrame:
         return tt.trip_groups(self.trips, self.routes)
 
-    @property
+    @cached_property
     def rs(self) -> DataFrame:
-        return tt.route_stops(self.ev, self.gr)
+        """The stops of the lines: few rows out of all events, used again and again, hence written."""
+        return written(tt.route_stops(self.ev, self.gr))
 
-    @property
+    @cached_property
     def order(self) -> DataFrame:
         return tt.line_order(self.rs)
 
-    @property
+    @cached_property
     def tx(self) -> DataFrame:
         return tt.transitions(self.ev, self.gr, self.rs)
 
+    @cached_property
+    def kept_tx(self) -> DataFrame:
+        """The transitions, written: for queries that read them more than once."""
+        return written(self.tx)
+
     @property
     def pw(self) -> DataFrame:
         """The last edition of each pathway."""
@@ -361,19 +367,19 @@ def hourly_stats(t: Tables) -> DataFrame:
 
 @query(cte("hr") + "SELECT row_number() OVER (ORDER BY range_pct DESC, line, direction, a, b) AS rank, line, direction, a, b, round(mean, 6) AS mean, round(range, 6) AS range, round(range_pct, 6) AS range_pct, min_hours, round(min_mean, 6) AS min_mean, max_hours, round(max_mean, 6) AS max_mean, bucket FROM hr")
 def hourly_range(t: Tables) -> DataFrame:
-    tx = t.tx
+    tx = t.kept_tx
     return r6(stats.hourly_range(tx, stats.pair_stats(tx)), "mean", "range", "range_pct", "min_mean", "max_mean")
 
 
 @query(cte("hr") + ", l AS (SELECT " + _every(stats.RANGE_BUCKETS) + " AS bucket) SELECT l.bucket, count(range_pct) AS n, round(count(range_pct) * 100.0 / sum(count(range_pct)) OVER (), 6) AS pct FROM l LEFT JOIN hr USING (bucket) GROUP BY l.bucket")
 def range_buckets(t: Tables) -> DataFrame:
-    tx = t.tx
+    tx = t.kept_tx
     return r6(stats.bucket_counts(stats.hourly_range(tx, stats.pair_stats(tx)), stats.RANGE_BUCKETS), "pct")
 
 
 @query(cte("st_door", "st_run") + "SELECT line, direction, a, b, round(d.stdev, 6) AS door_stdev, round(r.stdev, 6) AS run_stdev, CASE WHEN d.stdev + r.stdev > 0 THEN CASE WHEN d.stdev / (d.stdev + r.stdev) >= 0.7 THEN 'door' WHEN r.stdev / (d.stdev + r.stdev) >= 0.7 THEN 'run' END END AS dominant FROM st_door d JOIN st_run r USING (line, direction, a, b)")
 def stdev_dominance(t: Tables) -> DataFrame:
-    tx = t.tx
+    tx = t.kept_tx
     return r6(stats.dominance(stats.pair_stats(tx, "door"), stats.pair_stats(tx, "run")), "door_stdev", "run_stdev")
 
 
@@ -381,7 +387,7 @@ _FLAGGED = "flagged AS (SELECT line, direction, a, b, string_agg(reason, ',' ORD
 
 
 def _flagged(t: Tables) -> tuple[DataFrame, DataFrame]:
-    tx = t.tx
+    tx = t.kept_tx
     s = stats.pair_stats(tx)
     cv = stats.cv_ranking(s)
     return cv, stats.flagged_edges(cv, stats.hourly_range(tx, s))
@@ -796,7 +802,7 @@ h AS (SELECT line, direction, a, b, hour, count(*) AS n, {_HOURLY} FROM (SELECT
 SELECT s.*, h.* EXCLUDE (line, direction, a, b) FROM s LEFT JOIN h ON shown_at IS NULL AND h.line = s.line AND h.direction = s.direction AND h.a = s.a AND h.b = s.b"""
 )
 def hourly_breakdown(t: Tables) -> DataFrame:
-    tx = t.tx
+    tx = t.kept_tx
     pairs = stats.pair_stats(tx)
     out = stats.hourly_breakdown(tx, stats.cv_ranking(pairs), stats.hourly_range(tx, pairs))
     return r6(out, *(f"{c}_{s}" for c in ("total", "door", "run") for s in ("mean", "stdev")))
