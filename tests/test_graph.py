@@ -185,6 +185,9 @@ def test_relaxation_merges_and_its_tree(spark):
     dist = S.relax(e, spark.createDataFrame([("n0",), ("n3",)], "id string"), merge_every=2)
     got = {(r.source, r.node): r.dist for r in dist.collect()}
     assert got == {(a, b): v for (a, b), v in d.items() if a in ("n0", "n3") and v < float("inf")}
+    starts = spark.createDataFrame([("n0",), ("n3",)], "id string")
+    for most in (None, 3):
+        assert {(r.source, r.node): r.dist for r in S.distances(e, starts, most).collect()} == got
     parents = {(r.source, r.node): r.parent for r in S.shortest_tree(e, dist).collect()}
     assert parents["n0", "n9"] == "n3" and parents["n0", "n5"] == "n4" and len(parents) == len(got) - 2
 

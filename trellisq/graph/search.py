@@ -446,8 +446,8 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, merge
     """J9 at any size: source, node, dist: distances by rounds of relaxation over joined tables.
 
     Only nodes whose distance fell in the last round send it on, and only what falls is
-    written; what is known is read for the nodes met, and merged into one table every
-    few rounds.  Everything written cuts the lineage and lies in the shared folder.
+    written; what is known is read for the nodes met, and merged into one table every few
+    rounds.  Everything written cuts the lineage and lies in the shared folder.
     """
     keys = ["source", "node"]
     fresh = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist")).distinct())
@@ -456,6 +456,7 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, merge
     least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy(*keys).agg(F.min("dist").alias("dist"))
     for k in range(1, most_rounds + 1):
         sent = fresh.join(step, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("dist"))
+        # what is sent is small beside what is known: the known ones stay where they are
         met = reduce(DataFrame.unionByName, known).join(sent.select(*keys), keys, "left_semi")
         old = met.groupBy(*keys).agg(F.min("dist").alias("old"))
         fresh = written(sent.join(old, keys, "left").where(F.col("old").isNull() | (F.col("dist") < F.col("old"))).drop("old"))
@@ -471,6 +472,22 @@ def relax(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000, merge
     raise RuntimeError(f"no end after {most_rounds} rounds: is there a cycle of negative weight?")
 
 
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """Source, node, dist of every node reached, the source included: searches in tasks where the graph may be sent to them, else :func:`relax`."""
+    graph = adjacency(edges, most)
+    if graph is None:
+        return relax(edges, sources)
+    sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in b["id"]:
+                dist = dijkstra(sent.value, s)[0]
+                yield pd.DataFrame({"source": s, "node": list(dist), "dist": list(dist.values())})
+
+    return spread(sources.select("id").distinct(), "id").mapInPandas(run, "source string, node string, dist long")
+
+
 def shortest_tree(edges: DataFrame, distances: DataFrame) -> DataFrame:
     """J17 at any size: source, node, parent of a shortest path to every node reached; the smallest parent of several."""
     before = distances.select("source", F.col("node").alias("parent"), F.col("dist").alias("at"))

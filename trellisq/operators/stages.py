@@ -319,12 +319,11 @@ def combined_weights(subway: DataFrame, transfers: DataFrame, entrances: DataFra
 
 def canonical_order(edges: DataFrame, rank: DataFrame) -> list[Column]:
     """Sort keys of an edge table joined with ranks as rank_a and rank_b: ranked stops first, then by id."""
-    last = F.lit(1 << 40)
-    return [F.coalesce("rank_a", last), F.col("from_stop_id"), F.coalesce("rank_b", last), F.col("to_stop_id")]
+    return [F.col("rank_a").asc_nulls_last(), F.col("from_stop_id").asc(), F.col("rank_b").asc_nulls_last(), F.col("to_stop_id").asc()]
 
 
 def with_ranks(edges: DataFrame, rank: DataFrame) -> DataFrame:
-    """Adds rank_a and rank_b of the stops' first mention."""
+    """Adds rank_a and rank_b of the stops' first mention (stop_id, rank: a number or a sort key)."""
     return edges.join(rank.select(F.col("stop_id").alias("from_stop_id"), F.col("rank").alias("rank_a")), "from_stop_id", "left").join(
         rank.select(F.col("stop_id").alias("to_stop_id"), F.col("rank").alias("rank_b")), "to_stop_id", "left"
     )

@@ -80,9 +80,14 @@ def expected_pairs(stops: DataFrame) -> DataFrame:
     return fwd.select("line", F.lit(0).alias("direction"), "a", "b").unionByName(fwd.select("line", F.lit(1).alias("direction"), F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def first_mention(stops: DataFrame, order: DataFrame) -> DataFrame:
+    """stop_id, rank: where the lines, in their order, first name the stop (a sort key: line order and place)."""
+    return stops.join(order, "line").groupBy("stop_id").agg(F.min(F.struct("line_ord", "pos")).alias("rank"))
+
+
 def stop_rank(stops: DataFrame, order: DataFrame) -> DataFrame:
     """stop_id, rank from 0: the order in which the lines first name the stops."""
-    first = stops.join(order, "line").groupBy("stop_id").agg(F.min(F.struct("line_ord", "pos")).alias("at"))
+    first = first_mention(stops, order).withColumnRenamed("rank", "at")
     return ranked_rows(first, ["at", "stop_id"], "rank", 0).drop("at")
 
 

@@ -56,12 +56,12 @@ class Tables:
 
     @cached_property
     def rs(self) -> DataFrame:
-        """The stops of the lines: few rows out of all events, used again and again, hence written."""
-        return written(tt.route_stops(self.ev, self.gr))
+        return tt.route_stops(self.ev, self.gr)
 
     @cached_property
     def order(self) -> DataFrame:
-        return tt.line_order(self.rs)
+        """The order of the lines that have trips: from the trips alone, so that no event is read for it."""
+        return tt.line_order(self.gr)
 
     @cached_property
     def tx(self) -> DataFrame:
@@ -316,7 +316,7 @@ SELECT row_number() OVER (ORDER BY x.rank, from_stop_id, y.rank, to_stop_id) AS
 )
 def edge_weights(t: Tables) -> DataFrame:
     rs, order = t.rs, t.order
-    w = stages.with_ranks(stages.edge_weights(t.ev, t.gr, rs, order), tt.stop_rank(rs, order))
+    w = stages.with_ranks(stages.edge_weights(t.ev, t.gr, rs, order), tt.first_mention(rs, order))
     return ranked_rows(w, stages.canonical_order(w, rs), "place").select("place", "from_stop_id", "to_stop_id", "weight_seconds", "line")
 
 
@@ -554,8 +554,18 @@ def _hub(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "src").limit(1).select(F.col("src").alias("id"))
 
 
-@query(_RELAX.format(parts=cte("ed").removeprefix("WITH "), start="src, src, CAST(0 AS BIGINT) FROM (SELECT src FROM ed GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)", edges="ed") + "SELECT source, node, dist FROM d")
+_HUB = _RELAX.format(parts=cte("ed").removeprefix("WITH "), start="src, src, CAST(0 AS BIGINT) FROM (SELECT src FROM ed GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)", edges="ed")
+
+
+@query(_HUB + "SELECT source, node, dist FROM d")
 def hub_distances(t: Tables) -> DataFrame:
+    e = written(model.edges(t.weights))
+    return search.distances(e, _hub(e))
+
+
+@query(_HUB + "SELECT source, node, dist FROM d")
+def hub_relaxed(t: Tables) -> DataFrame:
+    """The same by relaxation, the way of graphs that may not be sent to tasks."""
     e = written(model.edges(t.weights))
     return search.relax(e, _hub(e))
 
