@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property, lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from trellisq.graph import model, report, search
 from trellisq.operators import checks, labels, stages, stats
 from trellisq.operators import timetable as tt
 from trellisq.plans.problems import _BLANKS, _SECONDS
-from trellisq.session import written
-from trellisq.sources.gtfs import coordinates, last_rows, names, pathway_pairs, ranked_rows
+from trellisq.session import kept_until_release, shared_folder, written
+from trellisq.sources.gtfs import coordinates, last_rows, names, pathway_pairs, ranked_rows, report_text, scan, write_table
 from trellisq.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -832,6 +833,148 @@ def equal_times_left(t: Tables) -> DataFrame:
     return checks.equal_times_left(stages.dwell_counts(t.ev, t.tr))
 
 
+# --- text tables, places, regions ---------------------------------------------------
+
+
+@query(f"SELECT row_number() OVER (ORDER BY row_no) AS row_no, nullif({_T('stop_id')}, '') AS stop_id, nullif({_T('stop_code')}, '') AS stop_code, stop_lat FROM stops")
+def text_round_trip(t: Tables) -> DataFrame:
+    """The stops written as semicolon-separated text and read again: sniffed delimiter, normalised header, text ids, numbered rows."""
+    path = f"{shared_folder(t.spark)}/trellisq-text-{uuid4().hex}"
+    write_table(t.stops.orderBy("row_no").select("stop_id", "stop_code", "stop_lat"), path, ["stop_id", "stop_code", "stop_lat"], ";")
+    kept_until_release(t.spark, path)
+    return scan(t.spark, path, "stops").select("row_no", "stop_id", "stop_code", "stop_lat")
+
+
+@query(cte("cov", "xy") + "SELECT entrance, round(avg(stop_lat), 9) AS lat, round(avg(stop_lon), 9) AS lon FROM cov JOIN xy ON stop_id = platform GROUP BY 1")
+def entrance_centroids(t: Tables) -> DataFrame:
+    out = model.entrance_centroids(checks.coverage(t.pathways), coordinates(t.stops))
+    return out.select("entrance", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+@query(cte("xy") + "SELECT stop_lat, stop_lon, count(*) AS stops, min(stop_id) AS first_id FROM xy GROUP BY 1, 2 HAVING count(*) > 1")
+def coordinate_collisions(t: Tables) -> DataFrame:
+    return model.coordinate_collisions(coordinates(t.stops))
+
+
+@query(cte("xy") + "SELECT stop_id FROM xy, (SELECT median(stop_lat) AS a, median(stop_lon) AS b FROM xy) WHERE stop_lat BETWEEN a - 0.02 AND a + 0.02 AND stop_lon BETWEEN b - 0.02 AND b + 0.02")
+def stops_within(t: Tables) -> DataFrame:
+    xy = coordinates(t.stops)
+    middle = xy.agg(F.median("stop_lat"), F.median("stop_lon")).first()
+    return model.within(xy, *middle, 0.02).select("stop_id") if middle[0] is not None else xy.select("stop_id")
+
+
+@query(cte("ed") + "SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed")
+def undirected_pairs(t: Tables) -> DataFrame:
+    return model.undirected(model.edges(t.weights))
+
+
+@query(cte("ed") + "SELECT src, dst, weight FROM ed WHERE type <> 'PW'")
+def edges_without_entrances(t: Tables) -> DataFrame:
+    return model.edges(t.weights, ("PW",)).select("src", "dst", "weight")
+
+
+@query(cte("ew") + "SELECT platform, entrance, bool_or(o) AS leads_out, bool_or(NOT o) AS leads_in FROM (SELECT src AS platform, dst AS entrance, true AS o FROM ew WHERE dst LIKE 'E.%' UNION ALL SELECT dst, src, false FROM ew WHERE src LIKE 'E.%') GROUP BY 1, 2")
+def entrance_maps(t: Tables) -> DataFrame:
+    cover, out, back = model.entrance_maps(model.edges(t.weights))
+    flag = lambda d, c: d.withColumn(c, F.lit(True))
+    both = cover.join(flag(out, "leads_out"), ["platform", "entrance"], "left").join(flag(back, "leads_in"), ["platform", "entrance"], "left")
+    return both.na.fill(False)
+
+
+@query(
+    cte("ed", "xy", "tx")
+    + """, l AS (SELECT a, b, min(line) AS line FROM tx WHERE total IS NOT NULL GROUP BY 1, 2)
+SELECT src, dst, weight, type, line, p.stop_lat AS src_lat, p.stop_lon AS src_lon, q.stop_lat AS dst_lat, q.stop_lon AS dst_lon, round(log10(weight + 1), 9) AS width
+FROM ed LEFT JOIN l ON a = src AND b = dst LEFT JOIN xy p ON p.stop_id = src LEFT JOIN xy q ON q.stop_id = dst"""
+)
+def drawing_table(t: Tables) -> DataFrame:
+    lines = t.tx.where("total is not null").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("line").alias("line"))
+    return model.drawing_table(model.edges(t.weights), lines, coordinates(t.stops)).withColumn("width", F.round("width", 9))
+
+
+@query(_HUB + "SELECT id AS node, dist, dist IS NOT NULL AS final FROM (SELECT src AS id FROM ed UNION SELECT dst FROM ed) LEFT JOIN d ON node = id")
+def hub_listing(t: Tables) -> DataFrame:
+    """Every vertex by rising distance from the hub, those not reached last."""
+    e = written(model.edges(t.weights))
+    return search.distance_listing(search.search_tree(e, _hub(e).first()[0]), model.vertices(e), unreachable=True)
+
+
+@query(_PLATFORM_PAIRS + "SELECT source, node AS target, dist AS optimum_weight FROM d WHERE source <> node AND node LIKE '1.%'")
+def platform_pairs_straight(t: Tables) -> DataFrame:
+    """The report of all pairs by A* under the straight line at the greatest speed."""
+    e, xy = written(model.edges(t.weights)), coordinates(t.stops)
+    fastest = model.max_speed(e, xy).first()[0] or 0.0
+    ids = model.vertices(e).where("id like '1.%'")
+    places = xy.join(model.vertices(e), F.col("stop_id") == F.col("id"), "left_semi").select("stop_id", "stop_lat", "stop_lon").limit(search.MAX_BROADCAST_EDGES).collect()  # vertices of a graph that is sent to tasks
+    h = search.straight_line({r.stop_id: (r.stop_lat, r.stop_lon) for r in places}, fastest)
+    return search.a_star_all(e, ids, h).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+
+
+def _regions(t: Tables, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(branches, bridges, platforms): the stops that only one of the first two lines has, each line's first stop of others as its bridge."""
+    first = t.order.where("line_ord < 2").select("line")
+    own = t.rs.groupBy("stop_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("branch"), F.min("pos").alias("pos")).where("lines = 1")
+    platforms = model.vertices(e.where("type = 'SW'")).select(F.col("id").alias("stop_id"))
+    branches = own.join(first, F.col("branch") == F.col("line"), "left_semi").join(platforms, "stop_id", "left_semi").select("branch", "pos", "stop_id")
+    bridges = t.rs.join(first, "line", "left_semi").join(branches.select("stop_id"), "stop_id", "left_anti").groupBy(F.col("line").alias("branch")).agg(F.min("stop_id").alias("bridge"))
+    return branches, bridges, platforms
+
+
+_REGIONS = (
+    cte("ed", "sw", "rs", "gr")
+    + f""", lo2 AS (SELECT line, row_number() OVER (ORDER BY {_dotted('line')}, line) AS k FROM (SELECT DISTINCT line FROM gr)), first2 AS (SELECT line FROM lo2 WHERE k <= 2),
+plat AS (SELECT src AS stop_id FROM sw UNION SELECT dst FROM sw),
+br AS (SELECT stop_id, min(line) AS branch FROM rs GROUP BY 1 HAVING count(*) = 1 AND min(line) IN (SELECT line FROM first2) AND stop_id IN (SELECT stop_id FROM plat)),
+bg AS (SELECT line AS branch, min(stop_id) AS bridge FROM rs WHERE line IN (SELECT line FROM first2) AND stop_id NOT IN (SELECT stop_id FROM br) GROUP BY 1),
+pc AS (SELECT x.stop_id AS source, y.stop_id AS target, CASE WHEN p.branch IS NULL AND q.branch IS NULL THEN 'CC' WHEN p.branch IS NULL THEN 'CB' WHEN q.branch IS NULL THEN 'BC' WHEN p.branch = q.branch THEN 'SB' ELSE 'DB' END AS case_, p.branch AS pb, q.branch AS qb
+  FROM plat x JOIN plat y ON x.stop_id <> y.stop_id LEFT JOIN br p ON p.stop_id = x.stop_id LEFT JOIN br q ON q.stop_id = y.stop_id)
+"""
+)
+
+
+def _report(t: Tables) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    e = written(model.edges(t.weights))
+    regions = _regions(t, e)
+    return search.all_pairs(e.where("type = 'SW'"), regions[2].select(F.col("stop_id").alias("id"))), regions
+
+
+@query(_REGIONS + "SELECT coalesce(case_, 'GLOBAL') AS case_, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM pc), 4) AS pct FROM pc GROUP BY ROLLUP (case_)")
+def region_cases(t: Tables) -> DataFrame:
+    """The report of all pairs by the regions of its ends."""
+    found, (branches, _, platforms) = _report(t)
+    return report.by_case(found, branches, platforms, "dijkstra").select("case_", "n", "pct")
+
+
+@query(_REGIONS + "SELECT source, target, bridge FROM pc JOIN bg ON branch = pb WHERE case_ IN ('BC', 'SB', 'DB') UNION SELECT source, target, bridge FROM pc JOIN bg ON branch = qb WHERE case_ IN ('CB', 'SB', 'DB')")
+def bridge_highlights(t: Tables) -> DataFrame:
+    found, (branches, bridges, platforms) = _report(t)
+    return model.bridge_highlights(model.classify(found.select("source", "target"), branches, platforms), branches, bridges)
+
+
+@query(
+    cte("rs", "sw")
+    + """, ch AS (SELECT line AS branch, stop_id, pos, lag(stop_id) OVER (PARTITION BY line ORDER BY pos) AS inner_ FROM rs)
+SELECT branch, ch.stop_id, sum(o.weight) OVER w AS depth_from, sum(i.weight) OVER w AS depth_to FROM ch LEFT JOIN sw o ON o.src = inner_ AND o.dst = ch.stop_id LEFT JOIN sw i ON i.src = ch.stop_id AND i.dst = inner_ WHERE pos > 1 WINDOW w AS (PARTITION BY branch ORDER BY pos)"""
+)
+def line_depths(t: Tables) -> DataFrame:
+    """Each line as a branch of its first stop: seconds from there to every stop and back."""
+    chain = t.rs.where("pos > 1").select(F.col("line").alias("branch"), (-F.col("pos")).alias("pos"), "stop_id")
+    bridges = t.rs.where("pos = 1").select(F.col("line").alias("branch"), F.col("stop_id").alias("bridge"))
+    return model.branch_depths(model.edges(t.weights).where("type = 'SW'"), chain, bridges)
+
+
+@query(cte("cv") + "SELECT line, direction, a, b, coalesce(printf('%.5f', round(cv, 9)), 'NA') AS proportion, coalesce(CAST(n AS VARCHAR), 'NA') AS n, 'NA' AS path FROM cv")
+def report_rows(t: Tables) -> DataFrame:
+    """Figures as report text: five decimals, NA for what is missing."""
+    cv = stats.cv_ranking(stats.pair_stats(t.tx)).select("line", "direction", "a", "b", F.round("cv", 9).alias("proportion"), "n", F.lit(None).cast("array<string>").alias("path"))
+    return report_text(cv).withColumn("direction", F.col("direction").cast("int"))
+
+
+@query(f"SELECT row_no, CASE WHEN abs(s) >= 3600 THEN printf('%s%d:%02d:%02d', m, abs(s) // 3600, abs(s) % 3600 // 60, abs(s) % 60) WHEN s IS NOT NULL THEN printf('%s%d:%02d', m, abs(s) // 60, abs(s) % 60) END AS text FROM (SELECT row_no, s, CASE WHEN s < 0 THEN '-' ELSE '' END AS m FROM (SELECT row_no, {_SECONDS('arrival_time')} AS s FROM stop_times))")
+def short_times(t: Tables) -> DataFrame:
+    return t.stop_times.select("row_no", exprs.format_short(exprs.parse_time("arrival_time")).alias("text"))
+
+
 # --- scalar functions ---------------------------------------------------------------
 
 

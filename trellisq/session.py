@@ -56,14 +56,19 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trellisq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, where = _place(spark, path)
-    files.deleteOnExit(where)
-    _PATHS.append(path)
+    kept_until_release(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def kept_until_release(spark: SparkSession, path: str) -> None:
+    """Note a folder that is to be removed by :func:`release`, or else when the application ends."""
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+    _PATHS.append(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`written` that nothing reads any more."""
     path = getattr(df, "_written_at", None)
