@@ -87,6 +87,24 @@ def test_every_script_comes_back(text, reading):
     assert M.mend(f"Sala 3 – {bad} (norte)") == (f"Sala 3 – {text} (norte)", True)
 
 
+@pytest.mark.parametrize("word", ["Ïåðåóëîê", "ÏÅÐÅÓËÎÊ", "Ëåýêáò", "Ðëáôåßá", "Ñòàíöèÿ"])
+def test_words_of_another_script_are_no_sequences(word):
+    assert M.mend(word) == (word, False) and M.suspicious(word)
+
+
+def test_a_lone_drawn_pair_is_a_misread_sign():
+    assert M.mend("Nusstor ┬╖ 6") == ("Nusstor · 6", True) and M.mend("──┬──┐ └─┬─┘") == ("──┬──┐ └─┬─┘", False)
+
+
+@pytest.mark.parametrize("text", ["Πύλη Λεύκας", "Выход Мост Мельничная", "Переулок"])
+@pytest.mark.parametrize("times", [2, 3])
+def test_other_scripts_misread_again(text, times):
+    bad = text
+    for _ in range(times):
+        bad = M._read(bad.encode("utf-8"), "latin-1")
+    assert M.mend(bad) == (text, True)
+
+
 @pytest.mark.parametrize("times", [3, 10, 14])
 def test_misread_many_times(times):
     bad = "ë"

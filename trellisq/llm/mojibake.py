@@ -22,8 +22,8 @@ left as it is.
   have been written (see :func:`suspicious`).
 
 When a lone match proves nothing: sound text has letters beside letters, letters beside
-closing or opening signs, and lines of box drawing away from letters.  A sequence of that kind counts
-only beside another match.
+closing or opening signs, and lines of box drawing.  A sequence of that kind counts only
+beside others, and where what they stand for is of one script.
 
 Texts are looked at once each, however often they occur.
 """
@@ -117,23 +117,40 @@ def _drawn(c: str) -> bool:
     return "\u2500" <= c <= "\u259f"
 
 
-def _proves(g: str, c: str, reading: str) -> bool:
-    """Whether the sequence g alone is proof that c was misread."""
+#: What a sequence says of its character having been misread; in a row of sequences more than HINT together is proof.
+PROOF, HINT, LETTERS = 3, 2, 1
+
+
+def _weight(g: str, c: str, reading: str) -> int:
+    """What the sequence g says of c having been misread: proof, a hint, or little (accented letters, as many a word has two)."""
     if any("\x80" <= x <= "\x9f" for x in g):
-        return True
+        return PROOF
     letters = all(x.isalpha() for x in g)
     if c in _COMMON:
-        return len(g) > 2 or g[0] not in WEAK_LEADS and (reading in ("cp1252", "latin-1", "iso8859-15") or not letters)
-    if letters or all(map(_drawn, g)):
-        return False
+        return PROOF if len(g) > 2 or g[0] not in WEAK_LEADS and (reading in ("cp1252", "latin-1", "iso8859-15") or not letters) else HINT
+    if letters:
+        return HINT if len(g) > 2 else LETTERS if c.isalpha() else 0
     # a letter before signs, or a sign before letters, as sound text has them
     after, before = all(x in ORDINARY for x in g[1:]), g[0] in ORDINARY and all(x.isalpha() for x in g[1:])
-    return len(g) > 2 and not after and not before
+    return HINT if len(g) == 2 or after or before or all(map(_drawn, g)) else PROOF
+
+
+def _one_script(text: str) -> bool:
+    """Whether the letters of a mended span belong to one script, as those of a word do (Japanese and Korean count as one with Chinese).
+
+    Letters that names are mostly made of count only as Latin, Greek or Cyrillic beside letters of the rest.
+    """
+    if all(x in _COMMON for x in text):
+        return True
+    scripts = {_script(x) for x in text if x.isalpha()}
+    rest = {_script(x) for x in text if x.isalpha() and x not in _COMMON}
+    held = {"CJK" if x in ("HIRAGANA", "KATAKANA", "HANGUL") else x for x in rest | (scripts & {"LATIN", "GREEK", "CYRILLIC"})}
+    return len(held) <= 1
 
 
 @lru_cache(maxsize=1 << 16)
-def _character(g: str, reading: str) -> tuple[str, bool] | None:
-    """(the character that the sequence stands for, whether it alone is proof); None where it is no character."""
+def _character(g: str, reading: str) -> tuple[str, int] | None:
+    """(the character that the sequence stands for, what it says); None where it is no character."""
     back = byte_of(reading)
     if any(x not in back for x in g):
         return None
@@ -143,12 +160,12 @@ def _character(g: str, reading: str) -> tuple[str, bool] | None:
         return None
     if len(c) != 1 or unicodedata.category(c) in ("Cn", "Co", "Cs") or unicodedata.category(c) == "Cc" and len(g) != 2:
         return None
-    return c, _proves(g, c, reading)
+    return c, _weight(g, c, reading)
 
 
 def _spans(text: str, reading: str) -> list[tuple[int, int, str]]:
     """Matched spans (start, end, original) of one reading from left to right, without overlap."""
-    places: dict[int, tuple[int, str, bool]] = {}
+    places: dict[int, tuple[int, str, int]] = {}
     for end, size in automaton(reading).iter(text):
         start = end - 1
         if start + size <= len(text) and (got := _character(text[start : start + size], reading)):
@@ -159,17 +176,18 @@ def _spans(text: str, reading: str) -> list[tuple[int, int, str]]:
         if start < i:
             continue
         i = start
-        parts, proof, weak = [], False, 0
+        parts, said = [], 0
         while i in places:
-            size, c, strong = places[i]
-            if strong and size == 2 and text[i + 1] in CLOSING and not text[i + 2 : i + 3].isalpha() and text[max(0, i - 1) : i].isupper():
-                strong = False
-            if strong and all(map(_drawn, text[i : i + size])) and not any(x.isalpha() for x in text[max(0, i - 1) : i] + text[i + size : i + size + 1]):
-                strong = False  # a drawing
-            proof, weak = proof or strong, weak + (not strong)
+            size, c, weight = places[i]
+            before, after = text[max(0, i - 1) : i], text[i + size : i + size + 1]
+            if weight == PROOF and size == 2 and text[i + 1] in CLOSING and not after.isalpha() and before.isupper():
+                weight = HINT
+            if weight == PROOF and all(map(_drawn, text[i : i + size])) and any(map(_drawn, before + after)):
+                weight = HINT  # part of a drawing
+            said += weight
             parts.append(c)
             i += size
-        if proof or weak > 1:
+        if said > HINT and _one_script("".join(parts)):
             out.append((start, i, "".join(parts)))
     return out
 
