@@ -332,3 +332,59 @@ def test_published_graph(spark, published):
     cover, _, _ = G.entrance_maps(e)
     served = cover.groupBy("entrance").count().groupBy("count").agg(F.count(F.lit(1)).alias("n"))
     assert {r[0]: r[1] for r in served.collect()} == {1: 494, 2: 8}
+
+
+# The branches of the published graph, outermost platform first, and the platform each is reached through.
+BRANCHES = {
+    "L1": (["1.111", "1.112", "1.113", "1.114", "1.115", "1.116"], "1.117"),
+    "L2": (["1.227", "1.226"], "1.225"),
+    "L5": (["1.509", "1.510", "1.511", "1.512", "1.513", "1.514", "1.555"], "1.515"),
+    "L9S": (["1.901", "1.903", "1.904", "1.905", "1.906", "1.907", "1.909", "1.910", "1.911", "1.912", "1.913"], "1.9140"),
+    "L9N": (["1.945", "1.944", "1.943"], "1.942"),
+    "L10S": (["1.951", "1.952", "1.953", "1.954", "1.956", "1.957", "1.958", "1.959"], "1.9141"),
+    "L11": (["1.1140", "1.1139", "1.1138", "1.1137"], "1.1136"),
+    "FM": (["1.9902"], "1.9901"),
+}
+# Seconds from the bridge to the outermost platform and back.
+DEPTHS = {"L1": (569, 562), "L2": (211, 194), "L5": (671, 668), "L9S": (1548, 1536), "L9N": (325, 317), "L10S": (901, 1066), "L11": (406, 405), "FM": (141, 141)}
+# Pairs of each case; mean proportion of path vertices to extractions by Dijkstra on the whole graph and without entrances.
+CASES = {"CC": (16512, 0.0644, 0.2062), "CB": (5418, 0.0395, 0.1437), "BC": (5418, 0.0737, 0.2531), "SB": (258, 0.2514, 0.6739), "DB": (1464, 0.0697, 0.2379), "GLOBAL": (29070, 0.0634, 0.209)}
+
+
+def test_published_regions(spark, published):
+    branches = spark.createDataFrame([(b, k, s) for b, (stops, _) in BRANCHES.items() for k, s in enumerate(stops)], "branch string, pos int, stop_id string")
+    bridges = spark.createDataFrame([(b, x) for b, (_, x) in BRANCHES.items()], "branch string, bridge string")
+    whole, trains = G.edges(published), G.edges(published, ("PW",))
+    depth = {r.stop_id: (r.depth_from, r.depth_to) for r in G.branch_depths(whole, branches, bridges).collect()}
+    assert {b: depth[stops[0]] for b, (stops, _) in BRANCHES.items()} == DEPTHS
+    platforms = G.vertices(trains).select(F.col("id").alias("stop_id"))
+    ids = G.vertices(trains)
+    reports = {"full": S.all_pairs(whole, ids), "no_pw": S.all_pairs(trains, ids)}
+    got = {r.case_: (r.n, r.full_mean, r.no_pw_mean) for r in R.comparison(reports, branches, platforms).collect()}
+    assert {c: n for c, (n, _, _) in got.items()} == {c: n for c, (n, _, _) in CASES.items()}
+    # the order of ties is not laid down, so means may differ a little
+    assert all(abs(got[c][k] - CASES[c][k]) < 0.001 for c in CASES for k in (1, 2))
+    home = {s: b for b, (stops, _) in BRANCHES.items() for s in stops}
+    h = S.region_aware(S.no_heuristic, home, {b: x for b, (_, x) in BRANCHES.items()}, {s: d[0] for s, d in depth.items()}, {s: d[1] for s, d in depth.items()})
+    aware = S.a_star_all(trains, ids, h)
+    R.optimum_gate({"dijkstra": reports["no_pw"], "region_aware": aware, "plain": S.a_star_all(trains, ids, S.no_heuristic)})
+    cases = G.classify(ids.select(F.col("id").alias("source")).limit(1).crossJoin(ids.select(F.col("id").alias("target"))).where("source <> target"), branches, platforms)  # one row on the left
+    marked = G.bridge_highlights(cases, branches, bridges)
+    assert set(r.bridge for r in marked.collect()) <= {x for _, x in BRANCHES.values()} and marked.count() > 0
+
+
+def test_published_stages(spark):
+    """Raw routes and transfers and the split ids, where TRELLISQ_ROUTES, TRELLISQ_TRANSFERS and TRELLISQ_EQUIVALENCES name their tables."""
+    from trellisq.operators import stages as K
+    from trellisq.sources.gtfs import Locations, scan
+
+    names = ("routes", "transfers", "equivalences")
+    if not all(os.environ.get(f"TRELLISQ_{n.upper()}") for n in names):
+        pytest.skip("the published tables are not named")
+    routes, transfers, split = (scan(spark, Locations().path(n), n) for n in names)
+    counts = K.network_counts(routes, "2.", "route_id").first()
+    assert (counts.total, counts.removed, counts.kept, K.network_filter(routes, "2.", "route_id").count()) == (114, 103, 11, 11)
+    least = K.least_transfer(transfers).first()[0]
+    shared = split.withColumn("idx", F.expr("substr(new_stop_id, length(original_stop_id) + 1)").cast("int"))
+    out = K.split_transfers(transfers.select("from_stop_id", "to_stop_id", "transfer_type", "min_transfer_time"), shared, least)
+    assert (least, transfers.count(), shared.count(), K.correspondences(shared).count(), out.count()) == (15, 60, 12, 12, 80)
