@@ -81,3 +81,13 @@ def test_locations(monkeypatch):
     monkeypatch.setenv("TRELLISQ_STOPS", "/elsewhere/stops.txt")
     where = G.Locations("base", {"trips": "t.csv"})
     assert (where.path("stops"), where.path("trips"), where.path("routes")) == ("/elsewhere/stops.txt", "t.csv", "base/routes.txt")
+
+
+def test_views_over_a_folder(spark, tmp_path):
+    from trellisq.sources.tables import register
+
+    for name, rows in (("stops", [("1.1",), ("1.10",)]), ("trips", [])):
+        spark.createDataFrame(rows, "stop_id string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "notes.txt").write_text("ignored")
+    assert register(spark, str(tmp_path)) == ["stops", "trips"]
+    assert spark.sql("SELECT count(DISTINCT stop_id) FROM stops").first()[0] == 2 and spark.table("trips").count() == 0

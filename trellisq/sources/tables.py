@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of a folder that holds one parquet file (or directory) per table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def register(spark: SparkSession, folder: str) -> list[str]:
+    """Temporary views over all tables of a folder, for ``spark.sql``; their names in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
+    return names
