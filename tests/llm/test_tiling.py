@@ -193,6 +193,24 @@ def test_many_seeds_are_met_in_parts(monkeypatch):
     assert sorted(Index(items).search(docs)) == whole and len(whole) >= 12
 
 
+def test_known_words_without_a_seed(monkeypatch):
+    item = VOC[:40]
+    index = Index([item, VOC[40:80]])
+    mixed = " ".join(item[::-1])
+    assert list(index.search([mixed])) == []
+    assert list(index.search([mixed, "", " ".join(item)])) == [(2, 0, 1.0, True)]
+    monkeypatch.setattr(tiling, "MOST_SEEDS", 1)
+    # one half of the passages has no seed in the texts
+    assert list(index.search([mixed, " ".join(item)])) == [(1, 0, 1.0, True)]
+
+
+def test_batches_without_a_seed(spark):
+    item = VOC[:40]
+    docs = spark.createDataFrame([(k, " ".join(item if k == 7 else item[::-1])) for k in range(10)], "doc_id long, text string").repartition(10, "doc_id")
+    got = leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, passage string"))
+    assert [(r.item_id, r.doc_id, r.verdict) for r in got.collect()] == [(1, 7, "stretch")]
+
+
 def test_verdicts(spark):
     rng = random.Random(3)
     item = rng.sample(VOC, 48)

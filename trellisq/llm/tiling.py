@@ -242,6 +242,8 @@ class Index:
         at = np.minimum(np.searchsorted(seeds.distinct, h), len(seeds.distinct) - 1)
         hit = seeds.distinct[at] == h
         known, at, h = known[hit], at[hit], h[hit]
+        if not len(known):
+            return  # five known words in a row, but in no passage so
         # join the seeds with every passage place that has them
         many = seeds.first[at + 1] - seeds.first[at]
         if many.sum() > MOST_SEEDS and (halves := seeds.halves()):
