@@ -101,3 +101,15 @@ def test_unbroken_text_is_cut_at_any_length():
     text = " " * 200_000 + "x"
     got = pieces(text, Limits(16, 0))
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] >= b[0] for a, b in zip(got, got[1:])) and all(n <= 16 for _, _, n, _ in got)
+
+
+def test_memory_starts_anew_while_pieces_are_counted(monkeypatch):
+    # more pre-tokens than a new memory has room for, and sentence ends within pre-tokens, after which pieces are counted
+    texts = [" ".join(f"Stop {k * 6000 + i} is open." for i in range(6000)) for k in range(4)]
+    want = [pieces(t, SMALL) for t in texts]
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    bpe.encoder.cache_clear()
+    try:
+        assert list(split_texts(texts, bpe.VOCABULARY, SMALL)) == want
+    finally:
+        bpe.encoder.cache_clear()

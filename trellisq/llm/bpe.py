@@ -162,6 +162,7 @@ class Encoder:
         self.used = 0
         self.starts = np.empty(1 << 14, np.int64)
         self.sizes = np.empty(1 << 14, np.int32)
+        self.vocabulary.merged.clear()
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode the pre-tokens not met before and store their ids."""

@@ -68,7 +68,10 @@ class Splitter:
 
     def count(self, text: str) -> int:
         """Tokens of a text of its own."""
-        return int(self.enc.sizes[self.enc.codes([text])[0]].sum()) if text else 0
+        if not text:
+            return 0
+        codes = self.enc.codes([text])[0]  # first: new pre-tokens may come with another array of sizes
+        return int(self.enc.sizes[codes].sum())
 
     def _fit(self, length: int, most: int, count: Callable[[int], int]) -> int:
         """A size in characters, at most ``length``, whose count is within ``most`` and near it.
@@ -173,9 +176,11 @@ def split_texts(texts: list[str], path: str, limits: Limits) -> Iterator[list[tu
     enc = encoder(path)
     splitter = Splitter(enc, limits)
     found, flat, counts = enc.find_codes(texts)
+    # taken at once: counting pieces may make the encoder's memory start anew, and the codes are of the memory before
+    sizes = enc.sizes[flat]
     ends = np.cumsum(counts)
     for text, own, lo, hi in zip(texts, found, ends - counts, ends):
-        tokens = np.cumsum(enc.sizes[flat[lo:hi]], dtype=np.int64)
+        tokens = np.cumsum(sizes[lo:hi], dtype=np.int64)
         total = int(tokens[-1]) if hi > lo else 0
         if total <= limits.limit:
             yield [(0, len(text), total, END)]
