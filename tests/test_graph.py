@@ -163,6 +163,29 @@ def test_places(spark):
     assert G.drawing_table(e, lines, xy).where("line = 'L1'").first().src_lat == 41.0
 
 
+def test_reached_pairs_alone(spark):
+    pairs = {k: w for k, w in random_graph(3, n=12, m=16).items()} | {(f"{a}x", f"{b}x"): w for (a, b), w in random_graph(4, n=9, m=12).items()}
+    e = G.edges(table(spark, pairs))
+    some = G.vertices(e).where("id not in ('1', '2x')").union(spark.createDataFrame([("no vertex",)], "id string"))
+    for both in (
+        lambda **k: S.all_pairs(e, some, **k),
+        lambda **k: S.all_pairs(e, some, G.vertices(e), **k),
+        lambda **k: S.a_star_all(e, some, S.EXACT, **k),
+        lambda **k: S.a_star_all(e, some, S.no_heuristic, sources=G.vertices(e), **k),
+    ):
+        whole = both().where("optimum_weight is not null")
+        assert sorted(both(reached=True).collect()) == sorted(whole.collect()) and whole.count() < both().count()
+
+
+def test_work_follows_the_reached_pairs(spark):
+    # 40,000 platforms in twos: 40,000 pairs are reached of 1.6 thousand million
+    ids = spark.range(20_000).selectExpr("concat('a', id) as src", "concat('b', id) as dst", "id + 1 as weight", "'SW' as type")
+    e = ids.union(ids.selectExpr("dst", "src", "weight + 1", "type"))
+    for found in (S.all_pairs(e, G.vertices(e), reached=True), S.a_star_all(e, G.vertices(e), S.EXACT, reached=True), S.a_star_all(e, G.vertices(e), S.no_heuristic, reached=True)):
+        n = 20_000
+        assert found.agg(F.count(F.lit(1)), F.sum("optimum_weight"), F.max("iterations")).first() == (2 * n, n * (n + 1) // 2 + n * (n + 3) // 2, 2)
+
+
 def test_too_many_edges(spark, monkeypatch):
     pairs = random_graph(1)
     nodes, d = floyd(pairs)

@@ -15,6 +15,7 @@ import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -141,12 +142,19 @@ def _ids(df: DataFrame, most: int | None = None) -> list[str] | None:
     return sorted(r[0] for r in rows) if len(rows) <= most else None
 
 
-def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def _frames(rows: Iterator[tuple], most: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Rows of the report as tables of up to ``most`` rows, whatever the number of rows a search gives."""
+    while held := list(islice(rows, most)):
+        yield pd.DataFrame(held, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
+
+
+def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, most: int | None = None, reached: bool = False) -> DataFrame:
     """The report of the target-cut search for every ordered pair of different nodes.
 
     A cut search does the same steps as a full one up to its target, so one full search
     per source gives all its targets: iterations are the target's settle rank.  Pairs
-    that are not reached have nulls and the number of settled nodes as iterations.
+    that are not reached have nulls and the number of settled nodes as iterations; with
+    ``reached`` they are no rows, and the work is that of the reached pairs alone.
     ``sources`` has id; ``targets`` (id) is the sources where not given.
 
     With more than ``most`` edges or targets the distances come from :func:`relax`: then
@@ -161,17 +169,20 @@ def all_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame | None =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, ends = sent.value
-        for b in batches:
-            for s in b["id"]:
-                dist, parent, rank = dijkstra(graph, s)
-                rows = []
-                for t in ends:
-                    if t == s:
-                        continue
-                    p = path(parent, s, t)
-                    n = rank.get(t, len(rank))
-                    rows.append((s, t, n, len(p) or None, dist.get(t), len(p) / n if p else None, p))
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
+        wanted = frozenset(ends)
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for s in b["id"]:
+                    dist, parent, rank = dijkstra(graph, s)
+                    for t in (t for t in dist if t in wanted) if reached else ends:
+                        if t == s:
+                            continue
+                        p = path(parent, s, t)
+                        n = rank.get(t, len(rank))
+                        yield s, t, n, len(p) or None, dist.get(t), len(p) / n if p else None, p
+
+        yield from _frames(rows())
 
     return spread(sources.select("id").distinct(), "id").mapInPandas(run, REPORT)
 
@@ -344,10 +355,12 @@ def a_star_pairs(edges: DataFrame, pairs: DataFrame, heuristic: Heuristic | str)
     return spread_.sortWithinPartitions("target").mapInPandas(run, REPORT)
 
 
-def a_star_all(edges: DataFrame, ends: DataFrame, heuristic: Heuristic | str, sources: DataFrame | None = None) -> DataFrame:
+def a_star_all(edges: DataFrame, ends: DataFrame, heuristic: Heuristic | str, sources: DataFrame | None = None, reached: bool = False) -> DataFrame:
     """The report of an A* run for every ordered pair of different nodes, without a table of the pairs.
 
     Targets are spread over tasks; the sources (``ends`` where not given) are sent to them.
+    With ``reached`` pairs that are not reached are no rows: only the sources that a search
+    from the target on the reversed graph meets are run.
     """
     sent = _sent(edges)
     starts = _ids(sources or ends)
@@ -356,13 +369,20 @@ def a_star_all(edges: DataFrame, ends: DataFrame, heuristic: Heuristic | str, so
     from_ = edges.sparkSession.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = sent.value
-        back = reversed_graph(graph) if heuristic == EXACT else {}
-        for b in batches:
-            for t in b["id"]:
-                h = exact_remaining(back, t) if heuristic == EXACT else heuristic
-                rows = [_a_star_row(graph, s, t, h) for s in from_.value if s != t]
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"path_vertices": "Int32", "optimum_weight": "Int64"})
+        graph, starts = sent.value, from_.value
+        back = reversed_graph(graph) if reached or heuristic == EXACT else {}
+        wanted = frozenset(starts)
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for t in b["id"]:
+                    left = dijkstra(back, t)[0] if back else {}
+                    h = (lambda node, _, left=left: left.get(node)) if heuristic == EXACT else heuristic
+                    for s in (s for s in left if s in wanted) if reached else starts:
+                        if s != t:
+                            yield _a_star_row(graph, s, t, h)
+
+        yield from _frames(rows())
 
     return spread(ends.select("id").distinct(), "id").mapInPandas(run, REPORT)
 

@@ -687,7 +687,7 @@ _PLATFORM_PAIRS = _RELAX.format(parts=cte("ed", "vx").removeprefix("WITH "), sta
 def platform_pairs(t: Tables) -> DataFrame:
     """The report of all ordered pairs of platforms of the timetable graph, those that are reached."""
     e = written(model.edges(t.weights))
-    return search.all_pairs(e, model.vertices(e).where("id like '1.%'")).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+    return search.all_pairs(e, model.vertices(e).where("id like '1.%'"), reached=True).where("optimum_weight is not null").select("source", "target", "optimum_weight")
 
 
 @query(_PLATFORM_PAIRS + "SELECT source, node AS target, dist AS optimum_weight FROM d WHERE source <> node AND node LIKE '1.%'")
