@@ -694,7 +694,7 @@ def platform_pairs(t: Tables) -> DataFrame:
 def platform_pairs_a_star(t: Tables) -> DataFrame:
     """The same by A* under the exact heuristic."""
     e = written(model.edges(t.weights))
-    return search.a_star_all(e, model.vertices(e).where("id like '1.%'"), search.EXACT).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+    return search.a_star_all(e, model.vertices(e).where("id like '1.%'"), search.EXACT, reached=True).where("optimum_weight is not null").select("source", "target", "optimum_weight")
 
 
 # --- the graph over split platforms, with transfers ---------------------------------
