@@ -907,7 +907,7 @@ def platform_pairs_straight(t: Tables) -> DataFrame:
     ids = model.vertices(e).where("id like '1.%'")
     places = xy.join(model.vertices(e), F.col("stop_id") == F.col("id"), "left_semi").select("stop_id", "stop_lat", "stop_lon").limit(search.MAX_BROADCAST_EDGES).collect()  # vertices of a graph that is sent to tasks
     h = search.straight_line({r.stop_id: (r.stop_lat, r.stop_lon) for r in places}, fastest)
-    return search.a_star_all(e, ids, h).where("optimum_weight is not null").select("source", "target", "optimum_weight")
+    return search.a_star_all(e, ids, h, reached=True).where("optimum_weight is not null").select("source", "target", "optimum_weight")
 
 
 def _regions(t: Tables, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
